@@ -229,3 +229,9 @@ def test_lines_keep_the_first(spark):
     rows = [(i, f"own line number {i}\nthe shared line here", f"s{i}") for i in range(8)] + [(20, "a b c d\nshort", "s1")]
     got = {r["doc_id"]: r["text"] for r in line_spread.without_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got[0] == rows[0][1] and got[5] == "own line number 5" and got[20] == rows[-1][1]
+
+
+def test_lines_meet_the_same_keys_by_broadcast_and_in_parts(spark):
+    docs = read(spark, FOLDER, "documents")
+    small, large = (sorted(map(tuple, line_spread.without_boilerplate(docs, most_broadcast=n).select("doc_id", "n_removed", "text").collect())) for n in (200_000, -1))
+    assert small == large and any(r[1] for r in small)
