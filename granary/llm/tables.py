@@ -32,23 +32,6 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def parts_of(rows: Column, total: int, most_keys: int = 1000) -> Column:
-    """In how many parts a key of so many of ``total`` rows is dealt out: at most about ``most_keys`` keys get more than one."""
-    return F.ceil(F.greatest(rows, F.lit(1)) / max(64, total // most_keys)).cast("int")
-
-
-def meet_in_parts(rows: DataFrame, keyed: DataFrame, hot: DataFrame, key: list[str], by: str) -> DataFrame:
-    """``rows`` with the columns of ``keyed``, which holds each key once and its number of ``parts``.
-
-    Keys of several parts (``hot``: the key and its parts, a bounded number by
-    ``parts_of``) are broadcast to deal their rows out by the column ``by``, so no key's rows meet in one task.
-    """
-    few = F.broadcast(hot.filter("parts > 1").select(*key, F.col("parts").alias("__parts")))
-    dealt = rows.join(few, key, "left").withColumn("__part", F.pmod(F.xxhash64(by), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
-    copies = keyed.withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    return dealt.join(copies, [*key, "__part"]).drop("__part")
-
-
 def share(spark: SparkSession, model: object) -> Broadcast[bytes]:
     """Broadcasts a fitted model with the code of its class."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(model))
