@@ -74,7 +74,7 @@ def kmers(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def sketch(labelled: np.ndarray, multipliers: np.ndarray, take: int) -> np.ndarray:
     """One value for each hash function: the least k-mers in text order."""
-    hashed = mix(labelled[:, None] ^ multipliers[None, :]) if len(labelled) < 64 else (labelled[:, None] ^ (labelled[:, None] >> np.uint64(29))) * (multipliers[None, :] | np.uint64(1))
+    hashed = (labelled[:, None] ^ (labelled[:, None] >> np.uint64(29))) * (multipliers[None, :] | np.uint64(1))  # the same for texts of every size
     take = min(take, len(labelled))
     at = np.sort(np.argpartition(hashed, take - 1, axis=0)[:take], axis=0)
     chosen = labelled[at]

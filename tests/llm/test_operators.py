@@ -157,6 +157,14 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     assert {r["class_id"] for r in rows if r["doc_id"] < 1000} == {0} and len({r["class_id"] for r in rows}) == 51
 
 
+def test_near_copies_of_66_and_70_words_share_buckets(spark):
+    rng = random.Random(4)
+    base = [[f"w{rng.randint(0, 10**6)}" for _ in range(70)] for _ in range(20)]
+    rows = [(2 * i + k, " ".join(t)) for i, b in enumerate(base) for k, t in enumerate((b, b[:20] + b[24:]))]
+    got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {d: d // 2 * 2 for d, _ in rows}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 50), (50, 70)], "a long, b long")
     assert {r["id"]: r["root"] for r in order_minhash.components(links).collect()} == {**{i: 0 for i in range(1, 21)}, 70: 50, 100: 50}
