@@ -15,7 +15,9 @@ their first document is compared. No bucket is expanded into pairs: first every
 text is compared with two of the texts that come first in its buckets (the least id,
 and the one of most shared buckets); in later rounds, where a bucket still holds
 several classes, each text outside its first class with a member of that class that
-it has not met. Classes are the connected components of links,
+it has not met. At last every pair of texts of different classes in one bucket is looked
+at, in blocks: bit sets of words rule out most pairs that cannot be similar enough, and never
+one that is; the others are aligned. Classes are the connected components of links,
 found by star contraction on tables in the shared folder.
 
 Null and empty texts, and texts without a word, are only equal to one another
@@ -179,6 +181,71 @@ def verified(pairs: DataFrame, words: DataFrame, least: float, salts: int = 16)
     return met.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
+def word_bits(words: np.ndarray) -> bytes:
+    """A bit set of the words, equal ones told apart by their number; 4 bits or more a word up to 2**16 bits."""
+    width = min(max(64, 1 << (4 * len(words) - 1).bit_length()), 1 << 16)
+    found = words.astype(np.uint64)
+    marked = mix(found + factors(1, 17) * (occurrences(found, np.array([0, found.size])) + np.uint64(1)))
+    bits = np.zeros(width, np.uint8)
+    bits[marked & np.uint64(width - 1)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def folded(packed: list[bytes]) -> np.ndarray:
+    """Bit sets as the rows of one array, the wider ones folded to the least width."""
+    width = min(map(len, packed))
+    return np.array([np.bitwise_or.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), axis=0) for x in packed])
+
+
+def possible(n: np.ndarray, bits: np.ndarray, least: float, step: int = 256) -> np.ndarray:
+    """Which pairs of texts can have the similarity ``least``.
+
+    With ``common`` words in common a text has n - common others, so no more of its
+    bits can be missing in the other's. Equal bits of different words only let more pairs through.
+    """
+    both = np.zeros((len(n), len(n)), np.float32)
+    for i in range(0, bits.shape[1], step):
+        own = np.unpackbits(bits[:, i : i + step], axis=1).astype(np.float32)
+        both += own @ own.T
+    have, n = np.diag(both), n.astype(np.float64)
+    common = least * (n[:, None] + n[None, :]) / 2 - 1e-6
+    return (np.minimum(n[:, None], n[None, :]) >= common) & (have[:, None] - both <= n[:, None] - common) & (have[None, :] - both <= n[None, :] - common)
+
+
+def untested(held: DataFrame, words: DataFrame, least: float, block: int = 512) -> DataFrame:
+    """All pairs (a, b), a > b, of texts that share a bucket, are of different classes and can be similar enough.
+
+    ``held`` has doc_id, n, bucket and root. Texts of that similarity have lengths of
+    the same or of neighbouring classes; a bucket's texts of two such classes are dealt out
+    in blocks of about ``block``, and each two blocks meet in a group of their own.
+    """
+    width = max(float(np.log((2 - least) / least)), 0.01) * (1 + 1e-9)
+    sized = held.withColumn("size", F.floor(F.log("n") / F.lit(width)).cast("int"))
+    near = sized.withColumn("part", F.explode(F.array(F.col("size"), F.col("size") - 1)))
+    groups = near.groupBy("bucket", "part").agg(F.count("*").alias("k"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("size").alias("small")).filter("low != high and small = part")
+    blocks = F.ceil(F.col("k") / F.lit(block)).cast("int")
+    dealt = near.join(groups.select("bucket", "part", blocks.alias("blocks")), ["bucket", "part"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = saved(dealt.select("doc_id", "n", "root", "bucket", "part", "size", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")))
+
+    def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from emit([{"doc_id": batch.column(0), "bits": [word_bits(np.frombuffer(x.as_py(), "<u4")) for x in batch.column(1)]}], pa.schema([("doc_id", pa.int64()), ("bits", pa.binary())]))
+
+    def meet(group: pa.Table) -> pa.Table:
+        ids, n, root, part, size, own, x, y = (group.column(c).to_numpy() for c in ("doc_id", "n", "root", "part", "size", "own", "x", "y"))
+        pair = (ids[:, None] > ids[None, :]) & (root[:, None] != root[None, :]) & ((size[:, None] == part[0]) | (size[None, :] == part[0]))
+        if x[0] != y[0]:
+            pair &= own[:, None] != own[None, :]
+        if pair.any():
+            pair &= possible(n, folded(group.column("bits").to_pylist()), least)
+        a, b = np.nonzero(pair)
+        return pa.table({"a": ids[a], "b": ids[b]})
+
+    bits = words.join(dealt.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "words").mapInArrow(shortened, "doc_id long, bits binary")
+    met = dealt.join(bits, "doc_id").withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+    return met.groupBy("bucket", "part", "x", "y").applyInArrow(meet, "a long, b long").distinct()
+
+
 def components(links: DataFrame, most_rounds: int = 30) -> DataFrame:
     """id and root (the least id of its component) of every node but the roots, by alternating star contraction.
 
@@ -231,10 +298,15 @@ def near_duplicates(docs: DataFrame, similarity_least: float = SIMILARITY, sketc
     picked = near.groupBy("a").agg(F.min("b").alias("low"), F.max(F.struct("shared", (-F.col("b")).alias("minus"))).alias("top"))
     tested = saved(picked.select("a", F.explode(F.array_distinct(F.array("low", -F.col("top.minus")))).alias("b")))
     roots = saved(components(verified(tested, words, similarity_least)))
-    for _ in range(1, rounds):
+
+
+    def still_mixed() -> DataFrame:
         held = members.join(roots.toDF("doc_id", "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
         seen = held.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket", "low")
-        mixed = held.join(seen, "bucket")
+        return held.join(seen, "bucket")
+
+    for _ in range(1, rounds):
+        mixed = still_mixed()
         other = mixed.filter("root = low").groupBy("bucket").agg(F.max(F.struct("doc_id", "n")).alias("c"))
         met = mixed.filter("root != low").join(other, "bucket").selectExpr("doc_id as a", "c.doc_id as b", "low", "n", "c.n as m").filter(close).select("a", "b", "low").distinct()
         fresh = saved(met.join(tested, ["a", "b"], "left_anti").groupBy("a", "low").agg(F.max("b").alias("b")).select("a", "b"))
@@ -244,6 +316,10 @@ def near_duplicates(docs: DataFrame, similarity_least: float = SIMILARITY, sketc
         tested = tested.unionByName(fresh)
         if not more.isEmpty():
             roots = saved(joined(roots, more))
+    rest = untested(still_mixed(), words, similarity_least).join(tested.selectExpr("greatest(a, b) as a", "least(a, b) as b"), ["a", "b"], "left_anti")
+    more = saved(verified(saved(rest), words, similarity_least))
+    if not more.isEmpty():
+        roots = saved(joined(roots, more))
     ranked = alike.join(roots.toDF("doc_id", "root"), "doc_id", "left").select("fp1", "fp2", "n", "own", F.coalesce("root", "doc_id").alias("class_id"))
     return rows.select("doc_id", "fp1", "fp2", "n", own.alias("own")).join(ranked, ["fp1", "fp2", "n", "own"]).select("doc_id", "class_id").dropDuplicates(["doc_id"])
 

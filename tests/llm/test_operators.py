@@ -157,6 +157,35 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     assert {r["class_id"] for r in rows if r["doc_id"] < 1000} == {0} and len({r["class_id"] for r in rows}) == 51
 
 
+@pytest.mark.parametrize("copies", [300, 700])
+def test_scattered_edits_get_the_classes_of_all_pairs(spark, copies):
+    rng = random.Random(9)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(150)]
+    texts = [" ".join(w if rng.random() > 0.1 else f"n{rng.randint(0, 10**6)}" for w in base) for _ in range(copies)]
+    words, bounds = codes(*texts_to_arrays(texts))
+    own = [(words[a:b] >> np.uint64(32)).astype("<u4") for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    labelled, of = order_minhash.kmers(words, bounds)
+    values = [order_minhash.sketch(labelled[a:b], order_minhash.factors(32, 11), 2) for a, b in zip(of[:-1], of[1:], strict=True)]
+    root = list(range(copies))
+    for i in range(copies):
+        for j in range(i):
+            if root[i] != root[j] and (values[i] == values[j]).any() and order_minhash.similarity(own[i], own[j], 0.8) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    rows = order_minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in rows} == dict(enumerate(root)) and len(set(root)) < 5
+
+
+def test_bit_sets_rule_out_no_similar_pair():
+    rng = random.Random(6)
+    base = [rng.randint(0, 300) for _ in range(200)]
+    own = [np.array([w if rng.random() > p else rng.randint(0, 300) for w in base[: rng.randint(120, 200)]], "<u4") for p in (0, 0.1, 0.2, 0.9) for _ in range(25)]
+    bits = order_minhash.folded([order_minhash.word_bits(x) for x in own])
+    may = order_minhash.possible(np.array([len(x) for x in own]), bits, 0.8)
+    is_near = np.array([[order_minhash.similarity(x, y, 0.8) >= 0.8 for y in own] for x in own])
+    assert (may | ~is_near).all() and is_near.sum() > 100 and (~may).sum() > 100
+
+
 def test_near_copies_of_66_and_70_words_share_buckets(spark):
     rng = random.Random(4)
     base = [[f"w{rng.randint(0, 10**6)}" for _ in range(70)] for _ in range(20)]
