@@ -152,9 +152,14 @@ class Grammar:
             self.abuse.append((mask, np.unique(own & mask)))
 
     def may_match(self, array: pa.Array) -> np.ndarray:
-        """Which texts have a word that begins like one of abuse."""
-        first, bounds = heads(*string_bytes(array))
+        """Which texts have a word that begins like one of abuse, or a character of which ``heads`` cannot tell if it ends a word or has a small letter."""
+        data, ends = string_bytes(array)
+        first, bounds = heads(data, ends)
         out = np.zeros(len(array), bool)
+        after = np.append(data[1:], np.uint8(0))
+        letter = (data == 0xC3) & (after >= 0x80) & (after != 0x97) & (after != 0xB7)  # U+00C0 to U+00FF but the signs of times and division
+        odd = np.flatnonzero((data >= 0xC0) & ~letter)
+        out[np.searchsorted(ends, odd, side="right") - 1] = True
         for mask, known in self.abuse:
             if known.size:
                 own = first & mask

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from granary.llm import byte_pair, containment, discriminant, language, line_spread, main_text, order_minhash, quality_cascade, secret_forest, toxic_grammar
 from granary.llm.queries import ORACLES, QUERIES, vocabulary
@@ -242,6 +243,14 @@ def test_grammar_reads_clauses():
     assert not g.clauses("a fine day. nothing more")
 
 
+def test_no_text_with_a_clause_is_passed_over():
+    g = toxic_grammar.Grammar(["дурак", "βλάκ", "straß"])
+    texts = ["¡idiota!", "«idiot»", "\u201cidiot\u201d", "you\u00a0idiot", "so\u2014idiot", "two×idiot", "ДУРАК", "ΒΛΆΚΑΣ", "İdiot \u212aill", "É IDIOT", "STRAßE", None, "", "a fine day, déjà vu"]
+    may = g.may_match(pa.array(texts))
+    assert [bool(g.clauses(t or "")) <= bool(m) for t, m in zip(texts, may, strict=True)] == [True] * len(texts)
+    assert all(g.clauses(t) for t in texts[:8]) and (g.features(pa.array(texts[:8])) > 0).any(axis=1).all() and not may[-3:].any()
+
+
 def test_forest_learns():
     rows = secret_forest.labelled_findings(1200)
     forest = secret_forest.train(rows[:800])
