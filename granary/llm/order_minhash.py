@@ -10,21 +10,25 @@ where common is the longest common subsequence of their words, and 0.8 or more
 makes a link. Two texts of that similarity differ by at most 0.2 of their words
 together, so an alignment never leaves the band of that width: the band loses nothing.
 
+Texts of fewer than ``SHORT`` k-mers have further values of one k-mer each: so
+few k-mers can be left between edits that two common ones are seldom the least.
+
 Equal texts (same words in the same order) are one class from the start and only
 their first document is compared. No bucket is expanded into pairs: first every
-text is compared with two of the texts that come first in its buckets (the least id,
-and the one of most shared buckets); in later rounds, where a bucket still holds
-several classes, each text outside its first class with a member of that class that
-it has not met. At last every pair of texts of different classes in one bucket is looked
+text is compared with at most three of the texts that come first in its buckets (the least id,
+and those of most shared buckets); then, where a bucket still holds several classes,
+each text outside its first class with a member of that class that it has not met. At
+last every pair of texts of different classes in one bucket is looked
 at, in blocks: bit sets of words rule out most pairs that cannot be similar enough, and never
 one that is; the others are aligned. Classes are the connected components of links,
-found by star contraction on tables in the shared folder.
+found by star contraction. What lies between is written to the shared folder and deleted at the end.
+Keys of very many rows (buckets, centres, nodes, equal texts) are met in parts.
 
 Null and empty texts, and texts without a word, are only equal to one another
 when both have no word, and are never linked: each is a class of its own. Texts
 of under five words have one k-mer of all their words. Ties go to the lowest id. Rows
-with a null id are dropped; repeated rows of an id count once. An empty table gives no
-rows. Extra columns are ignored.
+with a null id are dropped (``one_of_each`` keeps them); rows of one id are one document,
+with the text of least fingerprint. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,10 +40,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.tables import emit, saved, slices, string_bytes
+from granary.llm.tables import Scratch, dealt, emit, saved, slices, string_bytes
 from granary.llm.words import codes, mix, occurrences, powers, shingles
 
-K, SKETCHES, TAKE, SIMILARITY = 5, 32, 2, 0.8
+K, SKETCHES, TAKE, SIMILARITY = 5, 64, 2, 0.8
+#: Texts of fewer k-mers than SHORT have so many further values, of one k-mer each.
+SHORT, SHORT_SKETCHES = 64, 16
 
 
 def factors(n: int, seed: int) -> np.ndarray:
@@ -74,16 +80,38 @@ def kmers(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mix(values + factors(1, 5) * (occurrences(values, of) + np.uint64(1))), of
 
 
-def sketch(labelled: np.ndarray, multipliers: np.ndarray, take: int) -> np.ndarray:
-    """One value for each hash function: the least k-mers in text order."""
-    hashed = (labelled[:, None] ^ (labelled[:, None] >> np.uint64(29))) * (multipliers[None, :] | np.uint64(1))  # the same for texts of every size
-    take = min(take, len(labelled))
-    at = np.sort(np.argpartition(hashed, take - 1, axis=0)[:take], axis=0)
-    chosen = labelled[at]
-    total = np.zeros(multipliers.size, np.uint64)
-    for row in chosen:
-        total = mix(total + row)
-    return total
+def sketches_of(labelled: np.ndarray, bounds: np.ndarray, multipliers: np.ndarray, take: int) -> np.ndarray:
+    """One value for each text and hash function: the least k-mers in text order.
+
+    A hash's low bits make room for the k-mer's place, so a minimum over the text tells
+    where it stands. No array is larger than the k-mers of the texts and none is made by hash function and k-mer.
+    """
+    size = np.diff(bounds)
+    filled = np.flatnonzero(size)
+    out = np.zeros((size.size, multipliers.size), np.uint64)
+    if not filled.size:
+        return out
+    starts, most = bounds[filled], np.iinfo(np.uint64).max
+    low = np.uint64((1 << max(20, int(labelled.size).bit_length())) - 1)
+    place = np.arange(labelled.size, dtype=np.uint64)
+    spread = labelled ^ (labelled >> np.uint64(29))
+    hashed = np.empty_like(labelled)
+    for j, by in enumerate(multipliers | np.uint64(1)):
+        np.multiply(spread, by, out=hashed)
+        np.bitwise_and(hashed, ~low, out=hashed)
+        np.bitwise_or(hashed, place, out=hashed)
+        at = np.empty((take, filled.size), np.int64)
+        for t in range(take):
+            least = np.minimum.reduceat(hashed, starts)
+            at[t] = np.where(least == most, labelled.size, least & low)  # no k-mer is left
+            hashed[at[t][at[t] < labelled.size]] = most
+        at.sort(axis=0)
+        total = np.zeros(filled.size, np.uint64)
+        for row in at:
+            there = row < labelled.size
+            total[there] = mix(total[there] + labelled[row[there]])
+        out[filled, j] = total
+    return out
 
 
 def describe(docs: DataFrame, sketches: int, take: int) -> DataFrame:
@@ -91,6 +119,7 @@ def describe(docs: DataFrame, sketches: int, take: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("sketch", pa.list_(pa.int64()))])
     multipliers = factors(sketches, 11)
     bands = factors(sketches, 13)
+    more = factors(SHORT_SKETCHES, 19)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,24 +127,32 @@ def describe(docs: DataFrame, sketches: int, take: int) -> DataFrame:
                 words, bounds = codes(*string_bytes(part.column(1)))
                 one, two = fingerprints(words, bounds)
                 labelled, of = kmers(words, bounds)
-                found = [mix(sketch(labelled[a:b], multipliers, take) + bands).view(np.int64) if b > a else np.zeros(0, np.int64) for a, b in zip(of[:-1], of[1:], strict=True)]
+                values = mix(sketches_of(labelled, of, multipliers, take) + bands).view(np.int64)
+                found = [own if b > a else own[:0] for own, a, b in zip(values, of[:-1], of[1:], strict=True)]
+                size = np.diff(of)
+                short = (size > 0) & (size < SHORT)
+                ends = np.concatenate([[0], np.cumsum(size[short])])
+                extra = mix(sketches_of(labelled[np.repeat(short, size)], ends, more, 1) ^ more).view(np.int64)
+                for i, own in zip(np.flatnonzero(short), extra, strict=True):
+                    found[i] = np.concatenate([found[i], own])
                 yield from emit([{"doc_id": part.column(0), "n": np.diff(bounds), "fp1": one.view(np.int64), "fp2": two.view(np.int64), "sketch": found}], schema)
 
     return docs.mapInArrow(run, "doc_id long, n int, fp1 long, fp2 long, sketch array<long>")
 
 
 def word_lists(docs: DataFrame) -> DataFrame:
-    """doc_id and the text's words as packed 32-bit codes, for alignment."""
-    schema = pa.schema([("doc_id", pa.int64()), ("words", pa.binary())])
+    """doc_id, a fingerprint, the text's words as packed 32-bit codes, for alignment, and their bit set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp1", pa.int64()), ("words", pa.binary()), ("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
                 words, bounds = codes(*string_bytes(part.column(1)))
                 small = (words >> np.uint64(32)).astype("<u4")
-                yield from emit([{"doc_id": part.column(0), "words": [small[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]}], schema)
+                own = [small[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield from emit([{"doc_id": part.column(0), "fp1": fingerprints(words, bounds)[0].view(np.int64), "words": [x.tobytes() for x in own], "bits": [word_bits(x) for x in own]}], schema)
 
-    return docs.mapInArrow(run, "doc_id long, words binary")
+    return docs.mapInArrow(run, "doc_id long, fp1 long, words binary, bits binary")
 
 
 def common(a: list[int], b: list[int], band: int) -> int:
@@ -157,18 +194,15 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     return 2 * common(a.tolist(), b.tolist(), int((1 - least) * both) + 1) / both
 
 
-def verified(pairs: DataFrame, words: DataFrame, least: float, salts: int = 16) -> DataFrame:
+def verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose similarity is ``least`` or more.
 
-    A text can be the first of its bucket for very many others, so ``b`` is met
-    in ``salts`` parts: its words are copied that many times, the pairs dealt out.
+    A text can be the first of its bucket for very many others, so the pairs of
+    such a ``b`` are dealt out in parts.
     """
-    often = F.col("members") >= 4 * salts
-    centres = pairs.groupBy("b").agg(F.count("*").alias("members"))
-    dealt = pairs.join(centres, "b").select("a", "b", F.when(often, F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int")).otherwise(F.lit(-1)).alias("salt"))
-    copies = centres.join(words.withColumnsRenamed({"doc_id": "b", "words": "wb"}), "b")
-    copies = copies.select("b", "wb", F.explode(F.when(often, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(-1)))).alias("salt"))
-    met = dealt.join(words.withColumnsRenamed({"doc_id": "a", "words": "wa"}), "a").join(copies, ["b", "salt"])
+    words = words.select("doc_id", "words")
+    centres = pairs.groupBy("b").agg(F.count("*").alias("k")).join(words.withColumnsRenamed({"doc_id": "b", "words": "wb"}), "b")
+    met = dealt(pairs.select("a", "b").join(words.withColumnsRenamed({"doc_id": "a", "words": "wa"}), "a"), centres, ["b"], pairs.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -212,24 +246,20 @@ def possible(n: np.ndarray, bits: np.ndarray, least: float, step: int = 256) ->
     return (np.minimum(n[:, None], n[None, :]) >= common) & (have[:, None] - both <= n[:, None] - common) & (have[None, :] - both <= n[None, :] - common)
 
 
-def untested(held: DataFrame, words: DataFrame, least: float, block: int = 512) -> DataFrame:
+def untested(scratch: Scratch, held: DataFrame, words: DataFrame, least: float, total: int, block: int = 512) -> DataFrame:
     """All pairs (a, b), a > b, of texts that share a bucket, are of different classes and can be similar enough.
 
-    ``held`` has doc_id, n, bucket and root. Texts of that similarity have lengths of
+    ``held`` has doc_id, n, bucket, k (the texts of the bucket) and root. Texts of that similarity have lengths of
     the same or of neighbouring classes; a bucket's texts of two such classes are dealt out
     in blocks of about ``block``, and each two blocks meet in a group of their own.
     """
     width = max(float(np.log((2 - least) / least)), 0.01) * (1 + 1e-9)
     sized = held.withColumn("size", F.floor(F.log("n") / F.lit(width)).cast("int"))
     near = sized.withColumn("part", F.explode(F.array(F.col("size"), F.col("size") - 1)))
-    groups = near.groupBy("bucket", "part").agg(F.count("*").alias("k"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("size").alias("small")).filter("low != high and small = part")
-    blocks = F.ceil(F.col("k") / F.lit(block)).cast("int")
-    dealt = near.join(groups.select("bucket", "part", blocks.alias("blocks")), ["bucket", "part"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = saved(dealt.select("doc_id", "n", "root", "bucket", "part", "size", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")))
-
-    def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from emit([{"doc_id": batch.column(0), "bits": [word_bits(np.frombuffer(x.as_py(), "<u4")) for x in batch.column(1)]}], pa.schema([("doc_id", pa.int64()), ("bits", pa.binary())]))
+    groups = near.groupBy("bucket", "part").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("size").alias("small"), F.max("k").alias("k")).filter("low != high and small = part")
+    blocks = F.ceil(F.col("members") / F.lit(block)).cast("int")
+    parts = dealt(near, groups.select("bucket", "part", blocks.alias("blocks"), "k"), ["bucket", "part"], total).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    parts = scratch.table(parts.select("doc_id", "n", "root", "bucket", "part", "size", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")))
 
     def meet(group: pa.Table) -> pa.Table:
         ids, n, root, part, size, own, x, y = (group.column(c).to_numpy() for c in ("doc_id", "n", "root", "part", "size", "own", "x", "y"))
@@ -241,90 +271,115 @@ def untested(held: DataFrame, words: DataFrame, least: float, block: int = 512)
         a, b = np.nonzero(pair)
         return pa.table({"a": ids[a], "b": ids[b]})
 
-    bits = words.join(dealt.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "words").mapInArrow(shortened, "doc_id long, bits binary")
-    met = dealt.join(bits, "doc_id").withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+    met = parts.join(words.select("doc_id", "bits"), "doc_id").withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
     return met.groupBy("bucket", "part", "x", "y").applyInArrow(meet, "a long, b long").distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 30) -> DataFrame:
-    """id and root (the least id of its component) of every node but the roots, by alternating star contraction.
+def is_contracted(edges: DataFrame) -> bool:
+    """Whether every node but the roots has one edge, to its root."""
+    ends = edges.selectExpr("a as x", "1 as ups", "0 as downs").union(edges.selectExpr("b", "0", "1"))
+    return ends.groupBy("x").agg(F.sum("ups").alias("ups"), F.max("downs").alias("downs")).filter("ups > 1 or (ups = 1 and downs = 1)").isEmpty()
+
+
+def components(scratch: Scratch, links: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """id and root (the least id of its component) of every node but the roots of ``links`` (a stored table), by alternating star contraction.
 
     A large star links a node's greater neighbours to its least neighbour, a small star
     its smaller ones; both keep components and end in stars. Every step is a
-    grouped minimum and a join, so no node's neighbours are ever held together.
+    grouped minimum and a join, a node of very many neighbours met in parts, so no
+    node's neighbours are ever held together. Rounds are about the logarithm of
+    the longest path; it fails beyond ``most_rounds``.
     """
-    edges = saved(links.selectExpr("greatest(a, b) as a", "least(a, b) as b").filter("a != b").distinct())
-    state = None
+    edges = links.selectExpr("greatest(a, b) as a", "least(a, b) as b").filter("a != b")
     for _ in range(most_rounds):
+        if is_contracted(edges):
+            return edges.toDF("id", "root")
+        total = 2 * edges.count()
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").selectExpr("v as a", "m as b").filter("a != b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").selectExpr("b as a", "m as b").union(down.toDF("a", "b")).filter("a != b").distinct()
-        edges = saved(small)
-        now = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
-        if now == state:
-            break
-        state = now
-    return edges.groupBy("a").agg(F.min("b").alias("root")).toDF("id", "root")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("k"))
+        large = dealt(both.filter("v > u"), least, ["u"], total).selectExpr("v as a", "m as b").filter("a != b").repartition("a").distinct()
+        down = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k"))
+        small = dealt(large, down, ["a"], total).selectExpr("b as a", "m as b").union(down.selectExpr("a", "m as b"))
+        edges = scratch.table(small.filter("a != b").distinct())
+    raise RuntimeError(f"components are not complete after {most_rounds} rounds")
 
 
-def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+def joined(scratch: Scratch, roots: DataFrame, links: DataFrame) -> DataFrame:
     """The roots after further links: only the roots that these join are contracted again."""
     of = lambda side: roots.toDF(side, f"r{side}")
-    lifted = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
-    over = components(lifted.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).toDF("root", "over")
+    lifted = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    over = components(scratch, scratch.table(lifted)).toDF("root", "over")
     nodes = roots.unionByName(over.selectExpr("root as id", "root")).groupBy("id").agg(F.min("root").alias("root"))
-    return nodes.join(over, "root", "left").select("id", F.coalesce("over", "root").alias("root"))
+    held = nodes.groupBy("root").agg(F.count("*").alias("k")).join(over, "root")
+    return dealt(nodes, held, ["root"], nodes.count(), "left").select("id", F.coalesce("over", "root").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, similarity_least: float = SIMILARITY, sketches: int = SKETCHES, take: int = TAKE, rounds: int = 3, most_broadcast: int = 500_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity_least: float = SIMILARITY, sketches: int = SKETCHES, take: int = TAKE, rounds: int = 2, most_broadcast: int = 500_000) -> DataFrame:
     """doc_id and class_id (the least id of its class), one row for each document."""
+    with Scratch(docs.sparkSession) as scratch:
+        return saved(classes(scratch, docs, similarity_least, sketches, take, rounds, most_broadcast))
+
+
+def classes(scratch: Scratch, docs: DataFrame, similarity_least: float, sketches: int, take: int, rounds: int, most_broadcast: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    rows = saved(describe(texts, sketches, take))
-    own = F.when(F.col("n") > 0, F.lit(0)).otherwise(F.col("doc_id"))  # a text without words equals none
-    alike = rows.groupBy("fp1", "fp2", "n", own.alias("own")).agg(F.min("doc_id").alias("doc_id"))
-    first = rows.join(alike.select("doc_id"), "doc_id", "left_semi").select("doc_id", "n", F.explode("sketch").alias("bucket"))
-    size = first.groupBy("bucket").agg(F.count("*").alias("members"), F.min("doc_id").alias("centre")).filter("members > 1")
-    members = saved(first.join(size.select("bucket", "centre"), "bucket"))
-    named = members.select("doc_id").distinct()
-    named = F.broadcast(named) if named.count() <= most_broadcast else named
-    words = saved(word_lists(texts.join(named, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
-    lengths = rows.select("doc_id", "n")
+    own = F.when(F.col("n") > 0, F.lit(0)).otherwise(F.col("doc_id")).alias("own")  # a text without words equals none
+    rows = scratch.table(describe(texts, sketches, take).select("*", own))
+    repeated = not rows.groupBy("doc_id").agg(F.count("*").alias("times")).filter("times > 1").isEmpty()
+    if repeated:
+        rows = scratch.table(rows.groupBy("doc_id").agg(F.min(F.struct("fp1", "fp2", "n", "sketch", "own")).alias("one")).select("doc_id", "one.*"))
+    text = ["fp1", "fp2", "n", "own"]
+    alike = scratch.table(rows.groupBy(*text).agg(F.min(F.struct("doc_id", "sketch")).alias("least"), F.count("*").alias("k")).select(*text, "least.doc_id", "least.sketch", "k"))
+    named = alike.select("doc_id", "n", "fp1", F.explode("sketch").alias("bucket"))
+    size = named.groupBy("bucket").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "n")).alias("centre")).filter("k > 1")
+    size = scratch.table(size)
+    total = (sketches + SHORT_SKETCHES) * rows.count()
+    members = scratch.table(dealt(named, size.withColumn("members", F.col("k")), ["bucket"], total).withColumnRenamed("members", "k"))
+    total = members.count()
+    met = members.select("doc_id", "fp1").distinct()
+    met = F.broadcast(met) if met.count() <= most_broadcast else met
+    words = word_lists(texts.join(met.select("doc_id"), "doc_id", "left_semi")).join(met, ["doc_id", "fp1"], "left_semi").drop("fp1")
+    words = scratch.table(words.dropDuplicates(["doc_id"]) if repeated else words)
     close = f"least(n, m) * 2 >= {similarity_least} * (n + m)"
 
-    near = members.filter("doc_id != centre").selectExpr("doc_id as a", "centre as b", "n").groupBy("a", "b", "n").agg(F.count("*").alias("shared"))
-    near = near.join(lengths.dropDuplicates(["doc_id"]).toDF("b", "m"), "b").filter(close)
-    picked = near.groupBy("a").agg(F.min("b").alias("low"), F.max(F.struct("shared", (-F.col("b")).alias("minus"))).alias("top"))
-    tested = saved(picked.select("a", F.explode(F.array_distinct(F.array("low", -F.col("top.minus")))).alias("b")))
-    roots = saved(components(verified(tested, words, similarity_least)))
-
+    near = members.filter("doc_id != centre.doc_id").selectExpr("doc_id as a", "centre.doc_id as b", "n", "centre.n as m").filter(close).repartition("a").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    most = F.slice(F.sort_array(F.collect_list(F.struct("shared", (-F.col("b")).alias("minus"))), asc=False), 1, 2)  # of at most ``sketches``
+    picked = near.groupBy("a").agg(F.min("b").alias("low"), F.transform(most, lambda x: -x["minus"]).alias("top"))
+    tested = scratch.table(picked.select("a", F.explode(F.array_union(F.array("low"), "top")).alias("b")))
+    roots = components(scratch, scratch.table(verified(tested, words, similarity_least)))
 
     def still_mixed() -> DataFrame:
-        held = members.join(roots.toDF("doc_id", "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        seen = held.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket", "low")
-        return held.join(seen, "bucket")
+        held = members.select("doc_id", "n", "bucket", "k").join(roots.toDF("doc_id", "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        seen = held.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("k").alias("k"), F.max("k").alias("members")).filter("low != high").select("bucket", "low", "members", "k")
+        return scratch.table(dealt(held, seen, ["bucket"], total).withColumnRenamed("members", "k"))
 
+    mixed = still_mixed()
     for _ in range(1, rounds):
-        mixed = still_mixed()
-        other = mixed.filter("root = low").groupBy("bucket").agg(F.max(F.struct("doc_id", "n")).alias("c"))
-        met = mixed.filter("root != low").join(other, "bucket").selectExpr("doc_id as a", "c.doc_id as b", "low", "n", "c.n as m").filter(close).select("a", "b", "low").distinct()
-        fresh = saved(met.join(tested, ["a", "b"], "left_anti").groupBy("a", "low").agg(F.max("b").alias("b")).select("a", "b"))
-        if fresh.isEmpty():
-            break
-        more = saved(verified(fresh, words, similarity_least))
+        other = mixed.filter("root = low").groupBy("bucket").agg(F.max(F.struct("doc_id", "n")).alias("c"), F.max("k").alias("k"))
+        met = dealt(mixed.filter("root != low"), other, ["bucket"], total).selectExpr("doc_id as a", "c.doc_id as b", "low", "n", "c.n as m").filter(close).groupBy("a", "low").agg(F.max("b").alias("b")).select("a", "b").distinct()
+        fresh = scratch.table(met.join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionByName(fresh)
-        if not more.isEmpty():
-            roots = saved(joined(roots, more))
-    rest = untested(still_mixed(), words, similarity_least).join(tested.selectExpr("greatest(a, b) as a", "least(a, b) as b"), ["a", "b"], "left_anti")
-    more = saved(verified(saved(rest), words, similarity_least))
+        more = scratch.table(verified(fresh, words, similarity_least))
+        if more.isEmpty():
+            break
+        roots = scratch.table(joined(scratch, roots, more))
+        mixed = still_mixed()
+    rest = untested(scratch, mixed, words, similarity_least, total).join(tested.selectExpr("greatest(a, b) as a", "least(a, b) as b"), ["a", "b"], "left_anti")
+    more = scratch.table(verified(scratch.table(rest), words, similarity_least))
     if not more.isEmpty():
-        roots = saved(joined(roots, more))
-    ranked = alike.join(roots.toDF("doc_id", "root"), "doc_id", "left").select("fp1", "fp2", "n", "own", F.coalesce("root", "doc_id").alias("class_id"))
-    return rows.select("doc_id", "fp1", "fp2", "n", own.alias("own")).join(ranked, ["fp1", "fp2", "n", "own"]).select("doc_id", "class_id").dropDuplicates(["doc_id"])
+        roots = scratch.table(joined(scratch, roots, more))
+    ranked = alike.select("doc_id", *text, "k").join(roots.toDF("doc_id", "root"), "doc_id", "left").select(*text, F.coalesce("root", "doc_id").alias("class_id"), "k")
+    return dealt(rows.select("doc_id", *text), ranked, text, rows.count()).select("doc_id", "class_id")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents that come first in their class, with all their columns."""
-    kept = near_duplicates(docs, **options).filter("doc_id = class_id").select("doc_id")
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
+def one_of_each(docs: DataFrame, most_broadcast: int = 500_000, **options) -> DataFrame:
+    """The documents that come first in their class, with all their columns.
+
+    Rows with a null id stay. Rows of one id are one document; those that are equal in id and text stay once.
+    """
+    found = near_duplicates(docs, **options)
+    gone = found.filter("doc_id != class_id").select(F.col("doc_id").alias("__gone"))
+    gone = F.broadcast(gone) if gone.count() <= most_broadcast else gone
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    if docs.filter("doc_id is not null").count() == found.count():
+        return kept
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.filter("doc_id is null"))

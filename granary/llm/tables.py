@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -17,10 +18,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir`` where the session names it; otherwise (one
-    machine, tests) a folder in the warehouse.
+    It is ``spark.checkpoint.dir`` where the session names it; otherwise, on one
+    machine alone (tests), a folder in the warehouse.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
 
 
@@ -32,6 +35,51 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def deleted(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Tables in the shared folder, to cut lineage; all of them go at the end of the ``with`` block."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.made = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *why) -> None:
+        deleted(self.spark, self.root)
+
+    def table(self, df: DataFrame) -> DataFrame:
+        folder = f"{self.root}/{self.made}"
+        self.made += 1
+        df.write.parquet(folder)
+        return self.spark.read.schema(df.schema).parquet(folder)
+
+
+#: A key with a MOST_HOT-th of all rows or more is hot, so there are at most MOST_HOT of them.
+SALTS, MOST_HOT = 32, 10_000
+
+
+def dealt(many: DataFrame, few: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
+    """Joins the ``total`` rows of ``many`` to the keys of ``few`` (each once), hot keys in ``SALTS`` parts.
+
+    ``few`` has a column k, at least the number of rows of ``many`` with that key. The hot
+    ones are broadcast to be marked in ``many``, if that has no column k itself.
+    """
+    bound = max(total / MOST_HOT, 4 * SALTS)
+    if total < bound:
+        return many.drop("k").join(few.drop("k"), on, how)
+    part = F.pmod(F.xxhash64(*[c for c in many.columns if c not in (*on, "k")]), F.lit(SALTS)).cast("int")
+    if "k" not in many.columns:
+        many = many.join(F.broadcast(few.filter(F.col("k") >= bound).select(*on, "k")), on, "left")
+    left = many.withColumn("salt", F.when(F.col("k") >= bound, part).otherwise(F.lit(0))).drop("k")
+    copies = F.when(F.col("k") >= bound, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(few.withColumn("salt", F.explode(copies)).drop("k"), [*on, "salt"], how).drop("salt")
+
+
 def share(spark: SparkSession, model: object) -> Broadcast[bytes]:
     """Broadcasts a fitted model with the code of its class."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(model))

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from granary.llm import byte_pair, containment, discriminant, language, line_spread, main_text, order_minhash, quality_cascade, secret_forest, toxic_grammar
 from granary.llm.queries import ORACLES, QUERIES, vocabulary
-from granary.llm.tables import read
+from granary.llm.tables import Scratch, dealt, read
 from granary.llm.words import codes, heads, occurrences, shingles, texts_to_arrays
 from pyspark.sql import functions as F
 
@@ -166,7 +166,7 @@ def test_scattered_edits_get_the_classes_of_all_pairs(spark, copies):
     words, bounds = codes(*texts_to_arrays(texts))
     own = [(words[a:b] >> np.uint64(32)).astype("<u4") for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     labelled, of = order_minhash.kmers(words, bounds)
-    values = [order_minhash.sketch(labelled[a:b], order_minhash.factors(32, 11), 2) for a, b in zip(of[:-1], of[1:], strict=True)]
+    values = order_minhash.sketches_of(labelled, of, order_minhash.factors(order_minhash.SKETCHES, 11), 2)
     root = list(range(copies))
     for i in range(copies):
         for j in range(i):
@@ -196,8 +196,37 @@ def test_near_copies_of_66_and_70_words_share_buckets(spark):
 
 
 def test_components(spark):
-    links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 50), (50, 70)], "a long, b long")
-    assert {r["id"]: r["root"] for r in order_minhash.components(links).collect()} == {**{i: 0 for i in range(1, 21)}, 70: 50, 100: 50}
+    links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 50), (50, 70)] + [(2000 - i, 3000) for i in range(400)], "a long, b long")
+    with Scratch(spark) as scratch:
+        got = {r["id"]: r["root"] for r in order_minhash.components(scratch, links).collect()}
+        with pytest.raises(RuntimeError):
+            order_minhash.components(scratch, links, most_rounds=1)
+    assert got == {**{i: 0 for i in range(1, 21)}, 70: 50, 100: 50, 3000: 1601, **{i: 1601 for i in range(1602, 2001)}}
+
+
+def test_sketches_match_a_plain_loop():
+    rng = np.random.default_rng(3)
+    labelled = np.unique(rng.integers(1, 2**63, 500).astype(np.uint64))
+    rng.shuffle(labelled)
+    bounds, by = np.array([0, 0, 1, 3, 200, 200, 500]), order_minhash.factors(8, 11)
+    got = order_minhash.sketches_of(labelled, bounds, by, 2)
+    spread = labelled ^ (labelled >> np.uint64(29))
+    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        for j in range(8):
+            least = sorted(range(a, b), key=lambda x: int(spread[x] * (by[j] | np.uint64(1))))[:2]
+            total = np.zeros(1, np.uint64)
+            for x in sorted(least):
+                total = order_minhash.mix(total + labelled[x : x + 1])
+            assert got[i, j] == total[0]
+
+
+def test_hot_keys_meet_in_parts(spark):
+    many = spark.createDataFrame([(i % 3 if i % 2 else 9, i) for i in range(2000)], "key long, x long")
+    few = many.groupBy("key").agg(F.count("*").alias("k")).withColumn("y", F.col("key") * 10).filter("key != 2")
+    for how in ("inner", "left"):
+        plain = sorted(map(str, many.join(few.drop("k"), ["key"], how).collect()))
+        assert sorted(map(str, dealt(many, few, ["key"], 2000, how).select("key", "x", "y").collect())) == plain
+        assert sorted(map(str, dealt(many.withColumn("k", F.lit(500)), few.withColumn("k", F.lit(500)), ["key"], 2000, how).select("key", "x", "y").collect())) == plain
 
 
 def test_containment_in_blocks_is_the_same(spark):
