@@ -8,6 +8,7 @@ returns the token ids of what is left.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import byte_pair, containment, discriminant, line_spread, order_minhash
 from granary.llm.queries import vocabulary
-from granary.llm.tables import read
+from granary.llm.tables import deleted, read, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -56,20 +57,18 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("encode", encode),
 ]
 
-#: The classifier, the near-duplicate classes and the encoder have no SQL form; tests hold the stages to brute force.
+#: The classifier, the near-duplicate classes and the encoder have no SQL form; tests hold the stages to plain loops.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what lies between is written under the shared checkpoint folder."""
-    import uuid
-
-    from granary.llm.tables import shared_folder
-
+    """All stages over documents; what lies between is written to the shared folder, and goes once the next stage is written."""
     docs = read(spark, sf_dir, "documents")
     root = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         docs.write.parquet(f"{root}/{i}-{name}")
         docs = spark.read.parquet(f"{root}/{i}-{name}")
+        if i:
+            deleted(spark, f"{root}/{i - 1}-{STAGES[i - 1][0]}")
     return docs

@@ -231,47 +231,66 @@ def folded(packed: list[bytes]) -> np.ndarray:
     return np.array([np.bitwise_or.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), axis=0) for x in packed])
 
 
-def possible(n: np.ndarray, bits: np.ndarray, least: float, step: int = 256) -> np.ndarray:
-    """Which pairs of texts can have the similarity ``least``.
+def possible(n: np.ndarray, bits: np.ndarray, least: float, rows: slice = slice(None), step: int = 256) -> np.ndarray:
+    """Which pairs of some texts (``rows``) and all texts can have the similarity ``least``.
 
     With ``common`` words in common a text has n - common others, so no more of its
     bits can be missing in the other's. Equal bits of different words only let more pairs through.
     """
-    both = np.zeros((len(n), len(n)), np.float32)
+    both = np.zeros((len(n[rows]), len(n)), np.float32)
     for i in range(0, bits.shape[1], step):
         own = np.unpackbits(bits[:, i : i + step], axis=1).astype(np.float32)
-        both += own @ own.T
-    have, n = np.diag(both), n.astype(np.float64)
-    common = least * (n[:, None] + n[None, :]) / 2 - 1e-6
-    return (np.minimum(n[:, None], n[None, :]) >= common) & (have[:, None] - both <= n[:, None] - common) & (have[None, :] - both <= n[None, :] - common)
+        both += own[rows] @ own.T
+    have, n = np.bitwise_count(bits).sum(axis=1).astype(np.float32), n.astype(np.float32)
+    common = np.float32(least / 2) * (n[rows, None] + n[None, :]) - np.float32(1e-3)
+    return (np.minimum(n[rows, None], n[None, :]) >= common) & (have[rows, None] - both <= n[rows, None] - common) & (have[None, :] - both <= n[None, :] - common)
 
 
-def untested(scratch: Scratch, held: DataFrame, words: DataFrame, least: float, total: int, block: int = 512) -> DataFrame:
+def untested(scratch: Scratch, held: DataFrame, words: DataFrame, least: float, total: int, block: int = 2048, chunk: int = 512) -> DataFrame:
     """All pairs (a, b), a > b, of texts that share a bucket, are of different classes and can be similar enough.
 
-    ``held`` has doc_id, n, bucket, k (the texts of the bucket) and root. Texts of that similarity have lengths of
-    the same or of neighbouring classes; a bucket's texts of two such classes are dealt out
-    in blocks of about ``block``, and each two blocks meet in a group of their own.
+    ``held`` has doc_id, n, bucket, k (the texts of the bucket) and root. Texts of that similarity
+    have lengths of the same or of neighbouring sizes; a group is a bucket's texts of two
+    such sizes. Texts of its largest class need not meet one another, so they and the
+    others are dealt out in blocks of about ``block``: block i of the class meets each block
+    j of the others (cell i, j; the others of block j meet among themselves in cell 0, j), and blocks
+    l < j of the others meet in cell -1 - l, j. A large class with a few others costs a few rows more than it has.
     """
     width = max(float(np.log((2 - least) / least)), 0.01) * (1 + 1e-9)
     sized = held.withColumn("size", F.floor(F.log("n") / F.lit(width)).cast("int"))
     near = sized.withColumn("part", F.explode(F.array(F.col("size"), F.col("size") - 1)))
-    groups = near.groupBy("bucket", "part").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("size").alias("small"), F.max("k").alias("k")).filter("low != high and small = part")
-    blocks = F.ceil(F.col("members") / F.lit(block)).cast("int")
-    parts = dealt(near, groups.select("bucket", "part", blocks.alias("blocks"), "k"), ["bucket", "part"], total).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    parts = scratch.table(parts.select("doc_id", "n", "root", "bucket", "part", "size", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")))
+    counted = near.groupBy("bucket", "part", "root").agg(F.count("*").alias("of"), F.min("size").alias("small"), F.max("k").alias("k"))
+    groups = counted.groupBy("bucket", "part").agg(F.sum("of").alias("members"), F.max(F.struct("of", "root")).alias("main"), F.min("small").alias("small"), F.max("k").alias("k"))
+    groups = groups.filter("main.of < members and small = part")
+    blocks = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    groups = groups.select("bucket", "part", F.col("main.root").alias("main"), blocks(F.col("main.of")).alias("inside"), blocks(F.col("members") - F.col("main.of")).alias("others"), "k")
+    in_main = F.col("root") == F.col("main")
+    parts = dealt(near, groups, ["bucket", "part"], total).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(in_main, F.col("inside")).otherwise(F.col("others"))).cast("int"))
+    to = lambda n: F.sequence(F.lit(0), n - 1)
+    cell = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    with_others = F.transform(to(F.col("others")), lambda y: cell(F.col("own"), y))
+    with_main = F.transform(to(F.col("inside")), lambda x: cell(x, F.col("own")))
+    among = F.transform(F.filter(to(F.col("others")), lambda y: y != F.col("own")), lambda y: cell(-1 - F.least(y, F.col("own")), F.greatest(y, F.col("own"))))
+    parts = parts.select("doc_id", "n", "root", "bucket", "part", "size", "own", in_main.alias("in_main"), F.explode(F.when(in_main, with_others).otherwise(F.concat(with_main, among))).alias("cell"))
+    parts = scratch.table(parts.select("*", "cell.x", "cell.y").drop("cell"))
 
     def meet(group: pa.Table) -> pa.Table:
-        ids, n, root, part, size, own, x, y = (group.column(c).to_numpy() for c in ("doc_id", "n", "root", "part", "size", "own", "x", "y"))
-        pair = (ids[:, None] > ids[None, :]) & (root[:, None] != root[None, :]) & ((size[:, None] == part[0]) | (size[None, :] == part[0]))
-        if x[0] != y[0]:
-            pair &= own[:, None] != own[None, :]
-        if pair.any():
-            pair &= possible(n, folded(group.column("bits").to_pylist()), least)
-        a, b = np.nonzero(pair)
-        return pa.table({"a": ids[a], "b": ids[b]})
-
-    met = parts.join(words.select("doc_id", "bits"), "doc_id").withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+        ids, n, root, part, size, own, x = (group.column(c).to_numpy() for c in ("doc_id", "n", "root", "part", "size", "own", "x"))
+        in_main, bits = group.column("in_main").to_numpy(), folded(group.column("bits").to_pylist())
+        found = [np.zeros((2, 0), np.int64)]
+        for rows in (slice(i, i + chunk) for i in range(0, len(ids), chunk)):
+            pair = (ids[rows, None] > ids[None, :]) & (root[rows, None] != root[None, :]) & ((size[rows, None] == part[0]) | (size[None, :] == part[0]))
+            if x[0] > 0:
+                pair &= in_main[rows, None] != in_main[None, :]
+            elif x[0] < 0:
+                pair &= own[rows, None] != own[None, :]
+            if pair.any():
+                a, b = np.nonzero(pair & possible(n, bits, least, rows))
+                found.append(np.array([ids[rows][a], ids[b]]))
+        a, b = np.concatenate(found, axis=1)
+        return pa.table({"a": a, "b": b})
+
+    met = parts.join(words.select("doc_id", "bits"), "doc_id")
     return met.groupBy("bucket", "part", "x", "y").applyInArrow(meet, "a long, b long").distinct()
 
 
