@@ -16,11 +16,10 @@ few k-mers can be left between edits that two common ones are seldom the least.
 Equal texts (same words in the same order) are one class from the start and only
 their first document is compared. No bucket is expanded into pairs: first every
 text is compared with at most three of the texts that come first in its buckets (the least id,
-and those of most shared buckets); then, where a bucket still holds several classes,
-each text outside its first class with a member of that class that it has not met. At
-last every pair of texts of different classes in one bucket is looked
-at, in blocks: bit sets of words rule out most pairs that cannot be similar enough, and never
-one that is; the others are aligned. Classes are the connected components of links,
+and those of most shared buckets). Then, in every bucket that still holds several classes,
+all its texts of different classes meet, in blocks: bit sets of words rule out most pairs that
+cannot be similar enough, and never one that is; the others are aligned until their classes
+are joined. So no link between classes of one bucket is left out. Classes are the connected components of links,
 found by star contraction. What lies between is written to the shared folder and deleted at the end.
 Keys of very many rows (buckets, centres, nodes, equal texts) are met in parts.
 
@@ -46,6 +45,7 @@ from granary.llm.words import codes, mix, occurrences, powers, shingles
 K, SKETCHES, TAKE, SIMILARITY = 5, 64, 2, 0.8
 #: Texts of fewer k-mers than SHORT have so many further values, of one k-mer each.
 SHORT, SHORT_SKETCHES = 64, 16
+WHOLE = -9  # the part of a bucket that is not cut by size
 
 
 def factors(n: int, seed: int) -> np.ndarray:
@@ -231,7 +231,7 @@ def folded(packed: list[bytes]) -> np.ndarray:
     return np.array([np.bitwise_or.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), axis=0) for x in packed])
 
 
-def possible(n: np.ndarray, bits: np.ndarray, least: float, rows: slice = slice(None), step: int = 256) -> np.ndarray:
+def possible(n: np.ndarray, bits: np.ndarray, least: float, rows: np.ndarray | slice = slice(None), step: int = 256) -> np.ndarray:
     """Which pairs of some texts (``rows``) and all texts can have the similarity ``least``.
 
     With ``common`` words in common a text has n - common others, so no more of its
@@ -246,23 +246,27 @@ def possible(n: np.ndarray, bits: np.ndarray, least: float, rows: slice = slice(
     return (np.minimum(n[rows, None], n[None, :]) >= common) & (have[rows, None] - both <= n[rows, None] - common) & (have[None, :] - both <= n[None, :] - common)
 
 
-def untested(scratch: Scratch, held: DataFrame, words: DataFrame, least: float, total: int, block: int = 2048, chunk: int = 512) -> DataFrame:
-    """All pairs (a, b), a > b, of texts that share a bucket, are of different classes and can be similar enough.
+def links_in_buckets(scratch: Scratch, held: DataFrame, words: DataFrame, least: float, total: int, block: int = 2048, block_words: int = 4_000_000, chunk: int = 512) -> DataFrame:
+    """Links (a, b), a > b, that join all classes of which two texts share a bucket and are similar enough.
 
-    ``held`` has doc_id, n, bucket, k (the texts of the bucket) and root. Texts of that similarity
-    have lengths of the same or of neighbouring sizes; a group is a bucket's texts of two
+    ``held`` has doc_id, n, bucket, k and volume (texts and words of the bucket) and root. Texts of that similarity
+    have lengths of the same or of neighbouring sizes; a group is a bucket, or of a large one the texts of two
     such sizes. Texts of its largest class need not meet one another, so they and the
-    others are dealt out in blocks of about ``block``: block i of the class meets each block
+    others are dealt out in blocks of about ``block`` texts, fewer if ``block_words`` words fill it: block i of the class meets each block
     j of the others (cell i, j; the others of block j meet among themselves in cell 0, j), and blocks
     l < j of the others meet in cell -1 - l, j. A large class with a few others costs a few rows more than it has.
+
+    In a cell every pair of different classes that bit sets allow is aligned, until its
+    classes are joined; so a cell returns fewer links than it has texts, whatever its pairs.
     """
     width = max(float(np.log((2 - least) / least)), 0.01) * (1 + 1e-9)
     sized = held.withColumn("size", F.floor(F.log("n") / F.lit(width)).cast("int"))
-    near = sized.withColumn("part", F.explode(F.array(F.col("size"), F.col("size") - 1)))
+    at_once = (F.col("k") <= block) & (F.col("volume") <= block_words)
+    near = sized.withColumn("part", F.explode(F.when(at_once, F.array(F.lit(WHOLE))).otherwise(F.array(F.col("size"), F.col("size") - 1)))).drop("volume")
     counted = near.groupBy("bucket", "part", "root").agg(F.count("*").alias("of"), F.min("size").alias("small"), F.max("k").alias("k"))
     groups = counted.groupBy("bucket", "part").agg(F.sum("of").alias("members"), F.max(F.struct("of", "root")).alias("main"), F.min("small").alias("small"), F.max("k").alias("k"))
-    groups = groups.filter("main.of < members and small = part")
-    blocks = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    groups = groups.filter(f"main.of < members and (small = part or part = {WHOLE})")
+    blocks = lambda n: F.ceil(n / F.greatest(F.lit(64), F.least(F.lit(block), F.lit(block_words) / F.exp(F.lit(width) * (F.col("part") + 2))))).cast("int")
     groups = groups.select("bucket", "part", F.col("main.root").alias("main"), blocks(F.col("main.of")).alias("inside"), blocks(F.col("members") - F.col("main.of")).alias("others"), "k")
     in_main = F.col("root") == F.col("main")
     parts = dealt(near, groups, ["bucket", "part"], total).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(in_main, F.col("inside")).otherwise(F.col("others"))).cast("int"))
@@ -276,22 +280,33 @@ def untested(scratch: Scratch, held: DataFrame, words: DataFrame, least: float,
 
     def meet(group: pa.Table) -> pa.Table:
         ids, n, root, part, size, own, x = (group.column(c).to_numpy() for c in ("doc_id", "n", "root", "part", "size", "own", "x"))
-        in_main, bits = group.column("in_main").to_numpy(), folded(group.column("bits").to_pylist())
-        found = [np.zeros((2, 0), np.int64)]
-        for rows in (slice(i, i + chunk) for i in range(0, len(ids), chunk)):
-            pair = (ids[rows, None] > ids[None, :]) & (root[rows, None] != root[None, :]) & ((size[rows, None] == part[0]) | (size[None, :] == part[0]))
-            if x[0] > 0:
-                pair &= in_main[rows, None] != in_main[None, :]
-            elif x[0] < 0:
-                pair &= own[rows, None] != own[None, :]
-            if pair.any():
-                a, b = np.nonzero(pair & possible(n, bits, least, rows))
-                found.append(np.array([ids[rows][a], ids[b]]))
-        a, b = np.concatenate(found, axis=1)
+        in_main, bits = group.column("in_main").to_numpy(), group.column("bits").to_pylist()
+        words = [np.frombuffer(w, "<u4") for w in group.column("words").to_pylist()]
+        label, found = root.copy(), []
+        for small in np.unique(size) if part[0] == WHOLE else part[:1]:
+            here = np.flatnonzero((size == small) | (size == small + 1))
+            own_bits, first = folded([bits[i] for i in here]), size[here] == small
+            for rows in (here[i : i + chunk] for i in range(0, len(here), chunk)):
+                pair = (ids[rows, None] > ids[here]) & (label[rows, None] != label[here]) & ((size[rows, None] == small) | first)
+                if x[0] > 0:
+                    pair &= in_main[rows, None] != in_main[here]
+                elif x[0] < 0:
+                    pair &= own[rows, None] != own[here]
+                if not pair.any():
+                    continue
+                pair &= possible(n[here], own_bits, least, np.searchsorted(here, rows))
+                for one, likely in zip(rows, pair, strict=True):
+                    rest = here[likely]
+                    while (rest := rest[label[rest] != label[one]]).size:
+                        other, rest = rest[0], rest[1:]
+                        if similarity(words[one], words[other], least) >= least:
+                            found.append((ids[one], ids[other]))
+                            label[label == label[other]] = label[one]
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
         return pa.table({"a": a, "b": b})
 
-    met = parts.join(words.select("doc_id", "bits"), "doc_id")
-    return met.groupBy("bucket", "part", "x", "y").applyInArrow(meet, "a long, b long").distinct()
+    met = parts.join(words, "doc_id")
+    return met.groupBy("bucket", "part", "x", "y").applyInArrow(meet, "a long, b long")
 
 
 def is_contracted(edges: DataFrame) -> bool:
@@ -333,13 +348,13 @@ def joined(scratch: Scratch, roots: DataFrame, links: DataFrame) -> DataFrame:
     return dealt(nodes, held, ["root"], nodes.count(), "left").select("id", F.coalesce("over", "root").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, similarity_least: float = SIMILARITY, sketches: int = SKETCHES, take: int = TAKE, rounds: int = 2, most_broadcast: int = 500_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity_least: float = SIMILARITY, sketches: int = SKETCHES, take: int = TAKE, most_broadcast: int = 500_000) -> DataFrame:
     """doc_id and class_id (the least id of its class), one row for each document."""
     with Scratch(docs.sparkSession) as scratch:
-        return saved(classes(scratch, docs, similarity_least, sketches, take, rounds, most_broadcast))
+        return saved(classes(scratch, docs, similarity_least, sketches, take, most_broadcast))
 
 
-def classes(scratch: Scratch, docs: DataFrame, similarity_least: float, sketches: int, take: int, rounds: int, most_broadcast: int) -> DataFrame:
+def classes(scratch: Scratch, docs: DataFrame, similarity_least: float, sketches: int, take: int, most_broadcast: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     own = F.when(F.col("n") > 0, F.lit(0)).otherwise(F.col("doc_id")).alias("own")  # a text without words equals none
     rows = scratch.table(describe(texts, sketches, take).select("*", own))
@@ -366,24 +381,11 @@ def classes(scratch: Scratch, docs: DataFrame, similarity_least: float, sketches
     tested = scratch.table(picked.select("a", F.explode(F.array_union(F.array("low"), "top")).alias("b")))
     roots = components(scratch, scratch.table(verified(tested, words, similarity_least)))
 
-    def still_mixed() -> DataFrame:
-        held = members.select("doc_id", "n", "bucket", "k").join(roots.toDF("doc_id", "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        seen = held.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("k").alias("k"), F.max("k").alias("members")).filter("low != high").select("bucket", "low", "members", "k")
-        return scratch.table(dealt(held, seen, ["bucket"], total).withColumnRenamed("members", "k"))
-
-    mixed = still_mixed()
-    for _ in range(1, rounds):
-        other = mixed.filter("root = low").groupBy("bucket").agg(F.max(F.struct("doc_id", "n")).alias("c"), F.max("k").alias("k"))
-        met = dealt(mixed.filter("root != low"), other, ["bucket"], total).selectExpr("doc_id as a", "c.doc_id as b", "low", "n", "c.n as m").filter(close).groupBy("a", "low").agg(F.max("b").alias("b")).select("a", "b").distinct()
-        fresh = scratch.table(met.join(tested, ["a", "b"], "left_anti"))
-        tested = tested.unionByName(fresh)
-        more = scratch.table(verified(fresh, words, similarity_least))
-        if more.isEmpty():
-            break
-        roots = scratch.table(joined(scratch, roots, more))
-        mixed = still_mixed()
-    rest = untested(scratch, mixed, words, similarity_least, total).join(tested.selectExpr("greatest(a, b) as a", "least(a, b) as b"), ["a", "b"], "left_anti")
-    more = scratch.table(verified(scratch.table(rest), words, similarity_least))
+    held = members.select("doc_id", "n", "bucket", "k").join(roots.toDF("doc_id", "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    held = scratch.table(held)
+    seen = held.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("k").alias("k"), F.sum(F.col("n").cast("long")).alias("volume")).filter("low != high").select("bucket", "k", "volume")
+    mixed = dealt(held, seen.withColumn("members", F.col("k")), ["bucket"], total).withColumnRenamed("members", "k")
+    more = scratch.table(links_in_buckets(scratch, scratch.table(mixed), words, similarity_least, total))
     if not more.isEmpty():
         roots = scratch.table(joined(scratch, roots, more))
     ranked = alike.select("doc_id", *text, "k").join(roots.toDF("doc_id", "root"), "doc_id", "left").select(*text, F.coalesce("root", "doc_id").alias("class_id"), "k")
