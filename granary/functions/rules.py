@@ -112,33 +112,54 @@ def parameter_info(content: Column) -> Column:
     )
 
 
+#: Step marks, words before a resolution, verbs of key points.
+STEP_MARK, NUMBER_MARK = r"^(?:\d+[.)]|[-•])\s+", r"^\d+[.)]\s+"
+RESOLUTIONS = ("risoluzione|soluzione", "per risolvere|correggere")
+ACTION_VERBS = "chiudendo|calcolando|generando|producendo|fornendo"
+FEATURE_VERBS = "permette|consente|agevola|gestisce|include"
+
+
+def without_mark(lines: Column, mark: str) -> Column:
+    """The lines that begin with a mark and have something after it, the mark taken off."""
+    marked = F.filter(lines, lambda x: x.rlike(mark + "."))
+    return F.transform(marked, lambda x: F.regexp_replace(x, mark, ""))
+
+
 def procedure_info(content: Column) -> Column:
-    lines = F.transform(F.split(content, "\n"), stripped)
     return F.struct(
-        F.filter(lines, lambda x: x.rlike(r"(?i)^(\d+[.)]\s+|-\s+|•\s+|(step|passo)\s+\d+)")).alias("steps"),
+        without_mark(F.transform(F.split(content, "\n"), stripped), STEP_MARK).alias("steps"),
         labelled_value(content, r"(?:prerequisit|prima di)\w*").alias("prerequisites"),
         labelled_value(content, "attenzione|avviso|warning", ":!").alias("warnings"),
     )
 
 
 def error_info(content: Column, code: Column) -> Column:
-    after = F.when(F.contains(content, code), F.regexp_extract(content, r"[A-Z]{2,4}-?\d{2,4}\s*[:\-]?\s*([^\n]+)", 1))
-    block = F.regexp_extract(content, r"(?is)(?:risoluzione|soluzione)\s*[:=]\s*(.+?)(?=\n\n|\z)", 1)
-    steps = F.filter(F.transform(F.split(block, "\n"), stripped), lambda x: x.rlike(r"^\d+[.)]\s+"))
+    """The message after the asked code, the cause, and the steps of the resolution: its first line, and all numbered ones."""
+    after = F.when(F.contains(content, code) & (code != ""), F.substr(content, F.instr(content, code) + F.length(code)))
+    block = F.coalesce(*[F.nullif(stripped(F.regexp_extract(content, rf"(?is)(?:{words})\s*[:=]\s*(.+?)(?=\n\n|\z)", 1)), F.lit("")) for words in RESOLUTIONS])
+    lines = F.filter(F.transform(F.split(block, "\n"), stripped), lambda x: x != "")
+    opening = F.filter(F.slice(lines, 1, 1), lambda x: ~x.rlike(NUMBER_MARK))
     return F.struct(
-        F.nullif(stripped(after), F.lit("")).alias("message"),
+        F.nullif(stripped(F.regexp_extract(after, r"^[:\-]?\s*([^\n]+)", 1)), F.lit("")).alias("message"),
         labelled_value(content, r"(?:causa|motivo|dovuto)\w*").alias("cause"),
-        F.when(F.size(steps) > 0, steps).otherwise(F.filter(F.array(F.get(F.split(block, "\n"), 0)), lambda x: x != "")).alias("resolution"),
+        F.concat(opening, without_mark(lines, NUMBER_MARK)).alias("resolution"),
     )
 
 
-def key_points(title: Column, content: Column, most: int = 4) -> Column:
-    """Bullet points, else lines that begin with a gerund, else lines that share a word with the title."""
-    lines = F.filter(F.transform(F.split(content, "\n"), stripped), lambda x: F.length(x) > 10)
-    bullets = F.transform(F.filter(lines, lambda x: x.rlike(r"^[-•*]\s+")), lambda x: F.regexp_replace(x, r"^[-•*]\s+", ""))
-    gerunds = F.filter(lines, lambda x: F.lower(x).rlike(r"^\w+(ando|endo)\b"))
-    shared = F.filter(lines, lambda x: F.arrays_overlap(F.split(F.lower(x), r"\W+"), F.filter(F.split(F.lower(title), r"\W+"), lambda w: F.length(w) > 3)))
-    pick = F.when(F.size(bullets) > 0, bullets).when(F.size(gerunds) > 0, gerunds).otherwise(shared)
+def capitalized(word: Column) -> Column:
+    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, 2, 1 << 30)))
+
+
+def key_points(content: Column, most: int = 4) -> Column:
+    """Bullet points; without any, what follows verbs of action, then of features, then lines that look like titles."""
+    bullets = without_mark(F.transform(F.split(content, "\n"), stripped), r"^[-•*]\s+")
+    both = lambda pattern: F.arrays_zip(F.regexp_extract_all(content, F.lit(pattern), F.lit(1)).alias("verb"), F.regexp_extract_all(content, F.lit(pattern), F.lit(2)).alias("rest"))
+    acting = F.filter(both(rf"(?is)\b({ACTION_VERBS})\s+((?:(?!\b(?:{ACTION_VERBS})\s).)*)"), lambda x: F.length(stripped(x["rest"])) > 10)
+    actions = F.transform(acting, lambda x: F.concat_ws(" ", capitalized(x["verb"]), F.array_join(F.slice(F.split(stripped(x["rest"]), r"\s+"), 1, 8), " ")))
+    featured = F.filter(both(rf"(?i)\b({FEATURE_VERBS})\s+([^.]+)"), lambda x: F.length(stripped(x["rest"])) > 15)
+    features = F.transform(featured, lambda x: F.concat_ws(" ", capitalized(x["verb"]), stripped(x["rest"])))
+    titled = F.filter(F.regexp_extract_all(content, F.lit(r"(?md)^([A-Z][^.]+)$"), F.lit(1)), lambda x: (F.length(stripped(x)) > 5) & ~F.contains(F.substring(content, 1, 100), x))
+    pick = F.when(F.size(bullets) > 0, bullets).when(F.size(actions) > 0, actions).when(F.size(features) > 0, features).otherwise(F.transform(titled, stripped))
     return F.slice(pick, 1, most)
 
 

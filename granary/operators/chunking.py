@@ -65,9 +65,10 @@ def overlapped(chunks: Column, budget: int = 100) -> Column:
 
 
 def summary(text: Column) -> Column:
-    """The first three sentences and the last one of a long text, of those that refer nowhere else."""
-    kept = F.filter(split_sentences(text), lambda s: (F.length(s) > 20) & ~F.contains(F.lower(s), F.lit("vedi")))
-    chosen = F.when(F.size(kept) > 5, F.concat(F.slice(kept, 1, 3), F.slice(kept, -1, 1))).otherwise(F.slice(kept, 1, 3))
+    """The first three sentences and, of more than five, the last one if it is long enough and refers nowhere else."""
+    found = split_sentences(text)
+    last = F.filter(F.slice(found, -1, 1), lambda s: (F.length(s) > 20) & ~F.contains(F.lower(s), F.lit("vedi")))
+    chosen = F.when(F.size(found) > 5, F.concat(F.slice(found, 1, 3), last)).otherwise(F.slice(found, 1, 3))
     return truncate_to_tokens(F.array_join(chosen, " "), 400)
 
 

@@ -10,6 +10,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from granary.functions.rules import SKIPPED_TITLES
 from granary.functions.text import preprocess_html
 from granary.schemas import FIGURE
 
@@ -17,7 +18,6 @@ from granary.schemas import FIGURE
 REMOVED_TAGS = frozenset("nav aside footer header iframe object embed video audio canvas svg noscript form script style".split())
 REMOVED_CLASSES = frozenset("navigation nav sidebar cookie banner advertisement breadcrumb-nav toc print-only no-print social share comments comment".split())
 DECORATION = ("/sprite", "/icon", "/button", "/arrow", "/pixel", "1x1", "transparent.gif", "spacer.gif", "/ui/", "/chrome/", "data:image")
-BOILERPLATE_TITLES = ("menu", "navigation", "header", "footer", "sidebar", "cookie", "privacy", "copyright", "condividi", "share")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 OWN_LINE = frozenset("p div li tr table ul ol h1 h2 h3 h4 h5 h6 section article blockquote pre br td th".split())
 
@@ -29,15 +29,20 @@ class Node:
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node | str] = []
 
+    def below(self) -> Iterator[Node | str]:
+        """Everything below in page order, by a stack, as pages nest to any depth."""
+        waiting = self.children[::-1]
+        while waiting:
+            c = waiting.pop()
+            yield c
+            if isinstance(c, Node):
+                waiting.extend(reversed(c.children))
+
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else (" " if c.tag in OWN_LINE else "") + c.text() for c in self.children)
+        return "".join(c if isinstance(c, str) else " " if c.tag in OWN_LINE else "" for c in self.below())
 
     def all(self, *tags: str) -> Iterator[Node]:
-        for c in self.children:
-            if isinstance(c, Node):
-                if c.tag in tags:
-                    yield c
-                yield from c.all(*tags)
+        return (c for c in self.below() if isinstance(c, Node) and c.tag in tags)
 
 
 class Tree(HTMLParser):
@@ -69,15 +74,16 @@ class Tree(HTMLParser):
         self.at.children.append(data)
 
 
+def is_removed(node: Node | str) -> bool:
+    return isinstance(node, Node) and (node.tag in REMOVED_TAGS or bool(REMOVED_CLASSES & set(node.attrs.get("class", "").split())) or node.attrs.get("id") == "toc")
+
+
 def pruned(node: Node) -> Node:
-    kept = []
-    for c in node.children:
-        if isinstance(c, Node):
-            if c.tag in REMOVED_TAGS or REMOVED_CLASSES & set(c.attrs.get("class", "").split()) or c.attrs.get("id") == "toc":
-                continue
-            pruned(c)
-        kept.append(c)
-    node.children = kept
+    waiting = [node]
+    while waiting:
+        one = waiting.pop()
+        one.children = [c for c in one.children if not is_removed(c)]
+        waiting.extend(c for c in one.children if isinstance(c, Node))
     return node
 
 
@@ -109,15 +115,14 @@ def figure(img: Node, url: str) -> dict | None:
 
 def walk(node: Node) -> Iterator[Node | str]:
     """Headings, tables, images and text in page order; what holds a heading is entered."""
-    for c in node.children:
-        if isinstance(c, str):
+    waiting = node.children[::-1]
+    while waiting:
+        c = waiting.pop()
+        if isinstance(c, str) or re.fullmatch("h[1-6]", c.tag) or c.tag in ("table", "img", "title"):
             yield c
-        elif re.fullmatch("h[1-6]", c.tag) or c.tag in ("table", "img", "title"):
-            yield c
-        else:
-            yield " " if c.tag in OWN_LINE else ""
-            yield from walk(c)
-            yield " " if c.tag in OWN_LINE else ""
+            continue
+        edge = " " if c.tag in OWN_LINE else ""
+        waiting.extend([edge, *reversed(c.children), edge])
 
 
 def page_sections(html: str, url: str, least: int = 100) -> list[dict]:
@@ -148,14 +153,14 @@ def page_sections(html: str, url: str, least: int = 100) -> list[dict]:
             else:
                 parts.append(f" {x.text()} ")
         content = squeezed("".join(parts))
-        if len(content) >= least and not any(w in title.lower() for w in BOILERPLATE_TITLES):
+        if len(content) >= least and not any(w in title.lower() for w in SKIPPED_TITLES):
             slug = re.sub(r"[-\s]+", "-", re.sub(r"[^\w\s-]", "", title.lower())).strip("-")
             out.append({"section_id": f"section_{n:03d}", "title": title, "content": content, "level": level, "anchor": slug, "tables": tables, "figures": figures})
     return out
 
 
 def html_sections(pages: DataFrame, least: int = 100) -> DataFrame:
-    """The sections of pages (page_id, url, html); a page that cannot be read gives none."""
+    """The sections of pages (page_id, url, html); a page without a heading gives none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

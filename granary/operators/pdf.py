@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.text import clean_pdf_text
+from granary.functions.text import clean_pdf_text, stripped
 
 
 def font_stats(spans: DataFrame, pages: int = 5) -> DataFrame:
     """doc_id, font, size, flags with count, running average length, heading flag and level.
 
-    The running average gives the last spans of a font the most weight, so it is folded
+    Fonts are named in small letters and lengths are of trimmed text. The running average starts
+    at nothing and gives the last spans of a font the most weight, so it is folded
     in the order of the page.
     """
-    place = F.struct("page", "block", "line", "span", F.length("text").cast("double").alias("n"))
-    own = spans.filter(F.col("page") < pages).groupBy("doc_id", "font", "size", "flags").agg(F.count("*").alias("count"), F.array_sort(F.collect_list(place)).alias("placed"))
-    first = F.element_at("placed", 1)["n"]
-    own = own.withColumn("avg_length", F.aggregate(F.slice("placed", F.lit(2), F.size("placed")), first, lambda a, x: (a + x["n"]) / 2)).drop("placed")
+    place = F.struct("page", "block", "line", "span", F.length(stripped(F.col("text"))).cast("double").alias("n"))
+    named = spans.filter(F.col("page") < pages).withColumn("font", F.lower("font"))
+    own = named.groupBy("doc_id", "font", "size", "flags").agg(F.count("*").alias("count"), F.array_sort(F.collect_list(place)).alias("placed"))
+    own = own.withColumn("avg_length", F.aggregate("placed", F.lit(0.0), lambda a, x: (a + x["n"]) / 2)).drop("placed")
     of_doc = Window.partitionBy("doc_id")
     large = (F.col("size") >= F.avg("size").over(of_doc) + 2) | (F.col("flags").bitwiseAND(16) != 0)
     heading = large & ((F.col("avg_length") < 50) | (F.col("count") < 0.1 * F.count("*").over(of_doc)))

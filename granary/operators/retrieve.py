@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.rules import K_VALUES, k_dense, k_lexical, query_type
 from granary.session import Retrieval
 
 #: Italian function words, and groups of words that count as one.
@@ -182,6 +183,27 @@ def diversified(rows: DataFrame, k_final: int = 10, per_section: int = 2, top_k:
     return kept.filter(F.col("rank") <= top_k) if top_k else kept
 
 
+def search(queries: DataFrame, chunks: DataFrame, query_vectors: DataFrame, vectors: DataFrame, model: Callable[[Column, Column], Column] = overlap_score, w: Retrieval = Retrieval(), top_k: int = 10, tokens: Callable[[Column], Column] = plain_tokens, head: int = 200) -> DataFrame:
+    """query_id, doc_id, kind, origin, score and rank: the whole way of a batch of questions.
+
+    Each question (query_id, query) is classified; its type says how many rows the dense list
+    (query_vectors, vectors) and the lexical one of chunks (doc_id, title, text, section_path) give;
+    both are fused, re-ranked by title and beginning of the text, kept from filling up with one section, and cut.
+    """
+    kind = query_type(F.col("query"))
+    asked = queries.select("query_id", "query", kind.alias("kind"))
+    widest = max(d for d, _ in K_VALUES.values())
+    of_kind = asked.select("query_id", k_dense(F.col("kind")).alias("kd"), k_lexical(F.col("kind")).alias("kx"))
+    dense = dense_topk(query_vectors, vectors, widest).join(of_kind, "query_id").filter(F.col("rank") <= F.col("kd"))
+    lexical = top(bm25(queries, chunks, tokens, w.k1, w.b).withColumn("score", F.round("score", 6)), max(x for _, x in K_VALUES.values()))
+    lexical = lexical.join(of_kind, "query_id").filter(F.col("rank") <= F.col("kx"))
+    rows = fused(dense.withColumnRenamed("vec_id", "doc_id"), lexical, w).join(asked, "query_id")
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.substring("text", 1, head))
+    rows = rows.join(chunks.select("doc_id", "section_path", text.alias("text")), "doc_id")
+    ranked = diversified(reranked(rows, model, weight=w.model_weight), w.k_final, w.per_section, top_k)
+    return ranked.select("query_id", "doc_id", "kind", "origin", "score", "rank")
+
+
 def metadata_filter(filters: dict | None) -> Column:
     """Equality for values, inclusive ranges for {min, max}; empty values ask for nothing."""
     out = F.lit(True)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import rules, text
 from granary.operators import analytics, answer, chunking, html, index, pdf, retrieve
+from granary.session import Retrieval
 from granary.sources import crawl
 from granary.streaming import events as streams
 
@@ -423,8 +424,8 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") - 1).alias("page"), (F.col("l_partkey") % 5).cast("int").alias("block"), F.lit(0).alias("line"), F.col("l_linenumber").alias("span"), F.concat(F.lit("F"), (F.col("l_suppkey") % 2).cast("string")).alias("font"), (10 + F.col("l_partkey") % 3 * 4).cast("double").alias("size"), (F.col("l_suppkey") % 3 * 8).cast("int").alias("flags"), F.concat(F.lit("voce "), "l_returnflag", "l_linestatus", F.lit(" del documento numero "), F.col("l_partkey").cast("string")).alias("text"))
 
 
-@query(f"""WITH {SPANS}, g AS (SELECT doc_id, font, size, flags, count(*) AS count, list(CAST(length(text) AS DOUBLE) ORDER BY page, block, line, span, length(text)) AS ls FROM sp WHERE page < 5 GROUP BY 1, 2, 3, 4),
-    a AS (SELECT doc_id, font, size, flags, count, list_reduce(ls, lambda a, x: (a + x) / 2) AS avg_length FROM g), m AS (SELECT doc_id, avg(size) AS mean, max(size) AS top, count(*) AS keys FROM a GROUP BY doc_id)
+@query(f"""WITH {SPANS}, g AS (SELECT doc_id, lower(font) AS font, size, flags, count(*) AS count, list(CAST(length(trim(text)) AS DOUBLE) ORDER BY page, block, line, span, length(trim(text))) AS ls FROM sp WHERE page < 5 GROUP BY 1, 2, 3, 4),
+    a AS (SELECT doc_id, font, size, flags, count, list_reduce(list_prepend(CAST(0 AS DOUBLE), ls), lambda a, x: (a + x) / 2) AS avg_length FROM g), m AS (SELECT doc_id, avg(size) AS mean, max(size) AS top, count(*) AS keys FROM a GROUP BY doc_id)
     SELECT a.doc_id, font, size, flags, count, round(avg_length, 6) AS avg_length, (size >= mean + 2 OR (flags & 16) <> 0) AND (avg_length < 50 OR count < 0.1 * keys) AS is_heading, CAST(least(floor((top - size) / 2) + 1, 6) AS INTEGER) AS level FROM a JOIN m ON a.doc_id = m.doc_id""")
 def font_stats(spark, sf_dir):
     return pdf.font_stats(spans(spark, sf_dir)).withColumn("avg_length", F.round("avg_length", 6))
@@ -562,3 +563,157 @@ def asof_last_event(spark, sf_dir):
 def crawl_dedup(spark, sf_dir):
     p = read(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, F.lower("url")).otherwise(F.col("url")).alias("url"), F.col("html").alias("content"), F.lit("text/html").alias("content_type"))
     return crawl.crawled(p).select("page_id")
+
+
+# ---- the whole search -------------------------------------------------------
+
+STARTS = "(['errore ', 'come impostare ', 'procedura ', ''])[CAST(item_id % 4 + 1 AS INTEGER)]"
+ASKED_ITEMS = f"SELECT item_id AS query_id, {STARTS} || text AS query FROM benchmark"
+CHUNKS = "SELECT doc_id, 'Sezione ' || source AS title, text, 's' || CAST(doc_id % 4 AS VARCHAR) AS section_path FROM documents"
+
+
+@query(f"""{bm25_sql(CHUNKS, ASKED_ITEMS)}, kk AS (SELECT query_id, query, {KIND} AS kind FROM (SELECT query_id, query, lower(query) AS q FROM a)),
+    k AS (SELECT *, CASE kind WHEN 'error' THEN 20 WHEN 'parameter' THEN 28 WHEN 'procedure' THEN 52 ELSE 40 END AS kd, CASE kind WHEN 'error' THEN 40 WHEN 'parameter' THEN 26 WHEN 'procedure' THEN 14 ELSE 20 END AS kx FROM kk),
+    cs AS (SELECT k.query_id, e.vec_id AS doc_id, kd, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) AS score FROM k JOIN embeddings v ON v.vec_id = k.query_id, embeddings e),
+    dn AS (SELECT *, score / max(score) OVER (PARTITION BY query_id) AS s FROM (SELECT query_id, doc_id, score, kd, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM cs WHERE score >= 0) WHERE rank <= kd),
+    xn AS (SELECT *, score / max(score) OVER (PARTITION BY query_id) AS s FROM (SELECT r.query_id, r.doc_id, score, kx, row_number() OVER (PARTITION BY r.query_id ORDER BY score DESC, r.doc_id) AS rank FROM r JOIN k ON r.query_id = k.query_id) WHERE rank <= kx),
+    f AS (SELECT coalesce(dn.query_id, xn.query_id) AS query_id, coalesce(dn.doc_id, xn.doc_id) AS doc_id, CASE WHEN dn.s IS NOT NULL AND xn.s IS NOT NULL THEN dn.s * 0.6 + xn.s * 0.4 ELSE coalesce(dn.s, xn.s) END AS score,
+          CASE WHEN xn.s IS NULL THEN 'vector' WHEN dn.s IS NULL THEN 'lexical' ELSE 'hybrid' END AS origin, dn.rank AS dr, xn.rank AS xr FROM dn FULL JOIN xn ON dn.query_id = xn.query_id AND dn.doc_id = xn.doc_id),
+    o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dr IS NULL, coalesce(dr, xr), doc_id) AS r0 FROM f),
+    m AS (SELECT o.query_id, o.doc_id, k.kind, o.origin, o.score, o.r0, c.section_path, count(*) OVER (PARTITION BY o.query_id) AS n, list_distinct({TOKENS.format('k.query')}) AS qw, {TOKENS.format("coalesce(c.title, '') || '. ' || substring(c.text, 1, 200)")} AS dw FROM o JOIN k ON o.query_id = k.query_id JOIN d c ON o.doc_id = c.doc_id),
+    b AS (SELECT *, CASE WHEN n > 10 THEN CAST(0.30000000000000004 AS DOUBLE) * score + CAST(0.7 AS DOUBLE) * CASE WHEN len(qw) > 0 THEN len(list_intersect(qw, dw)) / len(qw) ELSE 0 END ELSE score END AS blended FROM m),
+    p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY blended DESC, r0) AS r1 FROM b), g AS (SELECT *, row_number() OVER (PARTITION BY query_id, section_path ORDER BY r1) AS place FROM p),
+    z AS (SELECT query_id, doc_id, kind, origin, round(blended, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY r1) AS rank FROM g WHERE r1 <= 5 OR place <= 2) SELECT * FROM z WHERE rank <= 10""")
+def search_topk(spark, sf_dir):
+    """Benchmark items as questions of all types over documents and embeddings of the same ids."""
+    start = F.element_at(F.array(*map(F.lit, ("errore ", "come impostare ", "procedura ", ""))), (F.col("item_id") % 4 + 1).cast("int"))
+    asked_rows = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(start, "text").alias("query"))
+    chunks = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Sezione "), "source").alias("title"), "text", section().alias("section_path"))
+    v = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    own = v.withColumnRenamed("vec_id", "query_id").join(asked_rows.select("query_id"), "query_id", "left_semi")
+    return retrieve.search(asked_rows, chunks, own, v, w=Retrieval(k_final=5)).withColumn("score", F.round("score", 6))
+
+
+# ---- facts that answers are made of -----------------------------------------
+
+
+def part_texts(spark: SparkSession, sf_dir: str, *lines: F.Column) -> DataFrame:
+    return read(spark, sf_dir, "part").withColumn("content", F.concat_ws("\n", *lines))
+
+
+def lit(text: str, *more) -> F.Column:
+    return F.concat(F.lit(text), *more)
+
+
+@query("SELECT p_partkey, p_name || '|' || p_type || '|' || p_brand || '|ultimo' AS steps, p_type AS prerequisites, CAST(p_size AS VARCHAR) AS warnings FROM part")
+def procedure_steps(spark, sf_dir):
+    rows = part_texts(spark, sf_dir, lit("1. ", "p_name"), lit("  2)  ", "p_type"), lit("- ", "p_brand"), lit("passo 3 ", "p_name"), lit("• ultimo"), lit("Prerequisiti: ", "p_type"), lit("Attenzione! ", F.col("p_size").cast("string")))
+    info = rules.procedure_info(F.col("content"))
+    return rows.select("p_partkey", F.array_join(info["steps"], "|").alias("steps"), info["prerequisites"].alias("prerequisites"), info["warnings"].alias("warnings"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN 'messaggio ' || p_name END AS message, p_type AS cause,
+    CASE WHEN p_partkey % 2 = 0 THEN 'Aprire ' || p_brand || '|Chiudere|Riavviare' ELSE 'Primo|' || p_name END AS resolution FROM part""")
+def error_facts(spark, sf_dir):
+    even = F.concat_ws("\n", lit("Soluzione: Aprire ", "p_brand"), F.lit("1. Chiudere"), F.lit("nota"), F.lit("2) Riavviare"), F.lit(""), F.lit("3. fuori"))
+    odd = F.concat_ws("\n", F.lit("Per risolvere: 1. Primo"), lit("2. ", "p_name"))
+    rows = part_texts(spark, sf_dir, F.lit("Vedi WRN-9: altro"), lit("Codice ERR-001: messaggio ", "p_name"), lit("Causa: ", "p_type"), F.when(F.col("p_partkey") % 2 == 0, even).otherwise(odd))
+    info = rules.error_info(F.col("content"), F.when(F.col("p_partkey") % 3 == 0, F.lit("ERR-002")).otherwise(F.lit("ERR-001")))
+    return rows.select("p_partkey", info["message"].alias("message"), info["cause"].alias("cause"), F.array_join(info["resolution"], "|").alias("resolution"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'uno|' || p_name || '|tre|quattro' WHEN 1 THEN 'Calcolando uno due tre quattro cinque sei sette otto|Generando ' || p_brand || ' in modo completo'
+    WHEN 2 THEN 'Permette la gestione di ' || p_name ELSE 'Titolo ' || p_name END AS points FROM part""")
+def key_points(spark, sf_dir):
+    kinds = [F.concat_ws("\n", F.lit("- uno"), lit("* ", "p_name"), F.lit("testo"), F.lit("• tre"), F.lit("- quattro"), F.lit("- cinque")),
+             F.concat(F.lit("Si lavora calcolando uno due tre quattro cinque sei sette otto nove GENERANDO "), "p_brand", F.lit(" in modo completo")),
+             F.concat(F.lit("Il modulo permette la gestione di "), "p_name", F.lit(". Include poco.")),
+             F.concat(F.lit("a" * 110 + ".\nTitolo "), "p_name")]
+    rows = read(spark, sf_dir, "part").withColumn("content", F.element_at(F.array(*kinds), (F.col("p_partkey") % 4 + 1).cast("int")))
+    return rows.select("p_partkey", F.array_join(rules.key_points(F.col("content")), "|").alias("points"))
+
+
+@query("""SELECT p_partkey, 'La prima frase parla di ' || p_name || '. La seconda frase di ' || p_type || '! Una terza frase qui?' || CASE p_partkey % 3 WHEN 0 THEN ' Ultima frase abbastanza lunga.' ELSE '' END AS summary FROM part""")
+def section_summary(spark, sf_dir):
+    last = F.element_at(F.array(F.lit(" Ultima frase abbastanza lunga."), F.lit(" Per altro si vedi il manuale."), F.lit("")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    text_of = F.concat(F.lit("La prima frase parla di "), "p_name", F.lit(". La seconda frase di "), "p_type", F.lit("! Una terza frase qui? Corta frase. Altra frase quarta. Altra frase quinta."), last)
+    return read(spark, sf_dir, "part").select("p_partkey", chunking.summary(text_of).alias("summary"))
+
+
+@query(f"""WITH a AS ({ASKED}), k AS (SELECT conv_id, turn, q, {KIND} AS kind FROM a)
+    SELECT conv_id, turn, (CASE WHEN length(q) > 50 THEN 1 ELSE 0 END + CASE WHEN regexp_matches(lower(q), 'come|perché|perchè|spiegare|spiegami|differenza|confronto|esempi|procedura completa|passo passo|dettagli') THEN 2 ELSE 0 END + CASE WHEN kind = 'general' THEN 1 ELSE 0 END) >= 2 AS complex FROM k""")
+def wants_model(spark, sf_dir):
+    rows = asked(spark, sf_dir)
+    return rows.select("conv_id", "turn", rules.wants_model(F.col("q"), rules.query_type(F.col("q"))).alias("complex"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand[1]) || lower(substring(regexp_extract(lower(p_brand), '^[^ ]+'), 2)) END AS param, 'ERR-' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') AS code FROM part")
+def question_names(spark, sf_dir):
+    number = F.concat(F.lit("err-"), F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0"))
+    q = F.concat(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("quale Parametro \""), F.split("p_brand", " ")[0], F.lit("\" per "))).otherwise(F.lit("cosa vuol dire ")), number)
+    return read(spark, sf_dir, "part").select("p_partkey", rules.query_param_name(q).alias("param"), rules.query_error_code(q, F.lit(None).cast("string")).alias("code"))
+
+
+@query("SELECT page_id, length(html) < 800 OR regexp_matches(lower(url), 'menu|navigation|header|footer|sidebar|cookie|privacy|copyright|condividi|share') AS skipped FROM pages")
+def skipped_pages(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", rules.skipped_section(F.col("url"), F.col("html"), 800).alias("skipped"))
+
+
+@query(r"""SELECT doc_id, coalesce(list_aggregate(list_sort(list_distinct(list_filter(regexp_extract_all(text, '\d{3,}'), lambda x: x NOT IN ('000', '100', CAST(n_chars AS VARCHAR))))), 'string_agg', ','), '') AS unsupported,
+    length(text) >= 50 AND NOT contains(text, '{{') AND NOT contains(text, '}}') AS valid FROM documents WHERE text IS NOT NULL""")
+def answer_checks(spark, sf_dir):
+    sources = F.concat_ws(" ", F.lit("000 100"), F.when(F.length(F.col("n_chars").cast("string")) > 2, F.col("n_chars").cast("string")))
+    rows = read(spark, sf_dir, "documents").filter("text is not null")
+    return rows.select("doc_id", F.array_join(F.sort_array(rules.unsupported_numbers(F.col("text"), sources)), ",").alias("unsupported"), rules.valid_answer(F.col("text")).alias("valid"))
+
+
+@query(f"WITH {LISTS} SELECT query_id, max(score) >= 0.9 AS sufficient FROM fused GROUP BY query_id")
+def sufficient_context(spark, sf_dir):
+    return answer.sufficient(fused_rows(spark, sf_dir), 0.9)
+
+
+@query(f"WITH {LISTS} SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM fused WHERE score > 0.5 QUALIFY place <= 3")
+def fallback_suggestions(spark, sf_dir):
+    return answer.suggestions(fused_rows(spark, sf_dir), 0.5).select("query_id", "doc_id", "place")
+
+
+# ---- chunks in tables -------------------------------------------------------
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    parent = F.when(k % 5 != 0, lit("c", (k - k % 5).cast("string")))
+    return read(spark, sf_dir, "part").select(lit("c", k.cast("string")).alias("chunk_id"), parent.alias("parent_chunk_id"), lit("http://x/", "p_brand").alias("source_url"), "p_name")
+
+
+STORED = "c AS (SELECT 'c' || CAST(p_partkey AS VARCHAR) AS chunk_id, CASE WHEN p_partkey % 5 <> 0 THEN 'c' || CAST(p_partkey - p_partkey % 5 AS VARCHAR) END AS parent_chunk_id, 'http://x/' || p_brand AS source_url, p_name FROM part)"
+
+
+@query(f"WITH {STORED}, k AS (SELECT parent_chunk_id AS chunk_id, string_agg(chunk_id, ',' ORDER BY chunk_id) AS children FROM c WHERE parent_chunk_id IS NOT NULL GROUP BY 1) SELECT c.chunk_id, children FROM c LEFT JOIN k ON c.chunk_id = k.chunk_id")
+def parent_links(spark, sf_dir):
+    return index.parents(stored(spark, sf_dir)).select("chunk_id", F.array_join("child_chunk_ids", ",").alias("children"))
+
+
+@query(f"WITH {STORED} SELECT chunk_id, source_url, p_name FROM c WHERE chunk_id IN (SELECT 'c' || CAST(p_partkey * 7 AS VARCHAR) FROM part)")
+def lookup_chunks(spark, sf_dir):
+    ids = read(spark, sf_dir, "part").select(lit("c", (F.col("p_partkey") * 7).cast("string")).alias("chunk_id"))
+    return index.lookup(stored(spark, sf_dir), ids).select("chunk_id", "source_url", "p_name")
+
+
+@query(f"WITH {STORED} SELECT chunk_id, source_url FROM c WHERE source_url NOT IN (SELECT 'http://x/' || p_brand FROM part WHERE p_size > 45)")
+def delete_by_url(spark, sf_dir):
+    urls = read(spark, sf_dir, "part").filter("p_size > 45").select(lit("http://x/", "p_brand").alias("source_url"))
+    return index.delete_by_url(stored(spark, sf_dir), urls).select("chunk_id", "source_url")
+
+
+@query("SELECT count(*) AS n_rows, max(len(embedding)) AS vector_size FROM embeddings")
+def table_stats(spark, sf_dir):
+    return analytics.table_stats(read(spark, sf_dir, "embeddings"), "embedding").withColumn("vector_size", F.col("vector_size").cast("long"))
+
+
+@query("""WITH g AS (SELECT source, round(avg((doc_id % 100) / 100.0), 6) AS mean_score, count(*) AS n_chunks FROM documents GROUP BY source)
+    SELECT source, 0::BIGINT AS n_figures, mean_score, n_chunks, CASE WHEN mean_score < 0.6 THEN 'score' ELSE 'ok' END AS diagnosis FROM g""")
+def url_diagnosis(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").withColumn("score", (F.col("doc_id") % 100) / 100.0)
+    found = analytics.diagnosis(rows, "source", "text", "score")
+    return found.withColumns({"mean_score": F.round("mean_score", 6), "n_figures": F.coalesce("n_figures", F.lit(0)).cast("long")})

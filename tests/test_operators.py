@@ -132,3 +132,12 @@ def test_incremental_ingest(spark, tmp_path):
     stream = events.read_stream(spark, "/root/testdata/sf0.001", "pages.parquet")
     events.ingest(stream, lambda df, n: got.append(df.count()), str(tmp_path / "c")).awaitTermination()
     assert sum(got) == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
+
+
+def test_deeply_nested_pages_are_read():
+    from granary.operators.html import page_sections
+
+    deep = "<div>" * 5000 + "<h1>Titolo</h1><p>" + "testo " * 40 + "</p>" + "</div>" * 5000
+    assert [x["title"] for x in page_sections(deep, "http://x/")] == ["Titolo"]
+    table = "<h1>T</h1><p>" + "testo " * 40 + "</p><table><tr><th>a</th></tr><tr><td>" + "<b>" * 3000 + "x|y</td></tr></table>"
+    assert page_sections(table, "")[0]["tables"] == ["| a |\n| --- |\n| x\\|y |"]
