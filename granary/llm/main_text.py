@@ -5,10 +5,10 @@ text of one block, with how many tags it holds, the container that it lies in, a
 whether that is of a kind that is never main text (menus, headers and footers of the
 page, sidebars, notices, adverts, forms, scripts, styles, comments of readers). A
 line's ratio is its characters by its tags, nothing for excluded lines; the ratios are
-smoothed by a Gaussian and clustered in two by a threshold. The containers of the
-lines above it are scored by the text they hold, and the best one (an article, else
-a main part, else the body) is the content region: all its lines that are not excluded
-are the text.
+smoothed by a Gaussian and clustered in two by a threshold. The upper lines choose the
+content region: the innermost container that holds ``share`` of their text. Where that lies in articles, the
+region is all articles of the page; where it lies in a main part, that; else it grows
+by headings above it. All the region's lines that are not excluded are the text.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are joined by line ends in page order. Null and empty pages give the
@@ -19,6 +19,7 @@ Repeated rows give equal rows; an empty table gives no rows; extra columns are i
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -33,21 +34,30 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("head script style noscript template iframe object svg canvas math audio video select button textarea title".split())
 EXCLUDED = frozenset("nav footer aside form menu dialog".split())
+#: Elements that can be the content region, and those that say themselves what they are.
+CONTAINERS = frozenset("html body main article section div td center details".split())
 REGIONS = {"article": 3, "main": 2, "body": 1}
-NAMES = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|nav|navbar|navigation|menus?|breadcrumbs?|sidebar|aside|footer|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|replies|disqus|respond|toc|pagination|pager|widget|masthead|site-header|page-header|skip-link|print-only)(?:$|[^a-z])")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words of class names and ids that mark what is never main text; the doubtful ones do so alone or beside a word of layout.
+SURE = r"ads?|advert\w*|sponsor\w*|nav|navbar|navigation|menus?|breadcrumbs?|sidebar|footer|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|comments?|disqus|pagination|pager|masthead|site-header|page-header|skip-link|print-only|social"
+DOUBTFUL = r"aside|banner|login|notices?|promo\w*|recommend\w*|related|replies|respond|share|sharing|signup|toc|widget"
+LAYOUT = r"area|articles?|bar|block|bottom|box|button|buttons|container|content|form|icons|inner|left|links|list|news|pages|posts|reading|right|section|site|stories|tools|top|topics|user|wrap|wrapper|\d+"
+NAMES = re.compile(rf"(?:^|[^a-z])(?:{SURE})(?:$|[^a-z])|(?:^|\s)(?:(?:{LAYOUT})[-_])*(?:{DOUBTFUL})(?:[-_](?:{LAYOUT}|{DOUBTFUL}))*(?:$|\s)")
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
 #: An end tag also ends these when they are still open inside it; a start tag of the same kind ends an open one.
 CLOSED_BY = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
 
 
 class Lines(HTMLParser):
-    """Turns a page's events into lines: (text, tags, excluded, region)."""
+    """Turns a page's events into lines (text, tags, excluded, container, whether a heading) and containers (kind, parent), numbered in page order."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, int]] = []  # tag, skipped, excluded, region
-        self.lines: list[tuple[str, int, bool, int]] = []
-        self.kinds: list[int] = [0]
+        self.open: list[tuple[str, bool, bool, int]] = []  # tag, skipped, excluded, container
+        self.blocks: list[int] = []  # places of block elements in open
+        self.counts: list[Counter] = [Counter()]  # open tags inside each open region
+        self.lines: list[tuple[str, int, bool, int, bool]] = []
+        self.kinds, self.parents = [0], [0]
         self.parts: list[str] = []
         self.tags = 0
 
@@ -58,38 +68,53 @@ class Lines(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                _, excluded, region = self.state()
-                self.lines.append((text, self.tags, excluded, region))
+                _, excluded, container = self.state()
+                heading = bool(self.blocks) and self.open[self.blocks[-1]][0] in HEADINGS
+                self.lines.append((text, self.tags, excluded, container, heading))
                 self.tags = 0
             self.parts = []
 
+    def push(self, tag: str, skipped: bool, excluded: bool, container: int) -> None:
+        self.counts[-1][tag] += 1
+        if tag in REGIONS:
+            self.counts.append(Counter())
+        if tag in BLOCKS:
+            self.blocks.append(len(self.open))
+        self.open.append((tag, skipped, excluded, container))
+
+    def pop_to(self, depth: int) -> None:
+        while len(self.open) > depth:
+            tag = self.open.pop()[0]
+            if tag in REGIONS:
+                self.counts.pop()
+            self.counts[-1][tag] -= 1
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self.end_line()
             while self.open and tag in CLOSED_BY.get(self.open[-1][0], ()):
-                self.open.pop()
-            if self.open and tag in BLOCKS:  # an inline tag left open does not hold the next block's paragraph
-                at = len(self.open) - 1
-                while at >= 0 and self.open[at][0] not in BLOCKS:
-                    at -= 1
-                if at >= 0 and tag in CLOSED_BY.get(self.open[at][0], ()):
-                    del self.open[at:]
+                self.pop_to(len(self.open) - 1)
+            # an inline tag left open does not hold the next block's paragraph
+            if self.blocks and tag in CLOSED_BY.get(self.open[self.blocks[-1]][0], ()):
+                self.pop_to(self.blocks[-1])
         elif tag == "br":
             self.parts.append(" ")
         if tag in VOID:
             return
-        skipped, excluded, region = self.state()
+        skipped, excluded, container = self.state()
         given = {k: (v or "").lower() for k, v in attrs}
-        inside = self.kinds[region] >= 2
+        inside = len(self.counts) > 1 and any(c["article"] or c["main"] for c in self.counts)
         excluded = excluded or tag in EXCLUDED or (tag == "header" and not inside) or given.get("role", "") in ROLES or "hidden" in given or given.get("aria-hidden") == "true"
         if not excluded and tag not in REGIONS and (named := f"{given.get('class', '')} {given.get('id', '')}".strip()):
             excluded = NAMES.search(named) is not None
-        kind = 2 if given.get("role") == "main" and tag not in REGIONS else REGIONS.get(tag, 0)
-        if kind > self.kinds[region] or (kind and kind == self.kinds[region] and kind == 3):
-            self.kinds.append(kind)
-            region = len(self.kinds) - 1
-        self.open.append((tag, skipped or tag in SKIPPED, excluded, region))
+        if tag in CONTAINERS or given.get("role") == "main":
+            self.parents.append(container)
+            container = len(self.kinds)
+            self.kinds.append(REGIONS.get(tag, 2 if given.get("role") == "main" else 0))
+        self.push(tag, skipped or tag in SKIPPED, excluded, container)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -100,12 +125,12 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.end_line()
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                del self.open[at:]
-                break
-            if self.open[at][0] in REGIONS and tag not in REGIONS:
-                break
+        # an end tag ends nothing outside its region, unless it is a region's
+        if (any(c[tag] for c in self.counts) if tag in REGIONS else self.counts[-1][tag]) > 0:
+            at = len(self.open) - 1
+            while self.open[at][0] != tag:
+                at -= 1
+            self.pop_to(at)
 
     def handle_data(self, data: str) -> None:
         if not (self.open and self.open[-1][1]):
@@ -118,23 +143,8 @@ def gaussian(sigma: float) -> np.ndarray:
     return weights / weights.sum()
 
 
-def main_text(html: str | None, sigma: float = 1.0) -> str:
-    """The main text of one page."""
-    if not html:
-        return ""
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    parser.end_line()
-    lines = parser.lines
-    if not lines:
-        return ""
-    size = np.array([0 if excluded else len(text) for text, _, excluded, _ in lines], float)
-    tags = np.array([t for _, t, _, _ in lines], float)
-    ratio = size / np.maximum(tags, 1)
-    weights = gaussian(sigma)
-    smooth = np.convolve(ratio, weights)[len(weights) // 2 :][: len(lines)]
-    # clustering in two: the threshold moves to the middle of the two means
+def above(smooth: np.ndarray) -> np.ndarray:
+    """Clustering in two: the threshold moves to the middle of the two means; True for the upper ones."""
     threshold = smooth.mean()
     for _ in range(20):
         high = smooth >= threshold
@@ -144,28 +154,58 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
         if abs(moved - threshold) < 1e-9:
             break
         threshold = moved
-    region = np.array([r for _, _, _, r in lines])
-    chosen = (smooth >= threshold) & (size > 0)
-    if not chosen.any():
-        chosen = size > 0
-    if not chosen.any():
-        return ""
-    # articles that hold less than a fifth of the chosen text are teasers beside the content
-    kinds = np.array(parser.kinds)
-    weight = np.bincount(region[chosen], size[chosen], len(kinds))
-    top = kinds[weight > 0].max()
-    for kind in range(top, -1, -1):
-        own = [r for r in np.flatnonzero(kinds == kind) if weight[r] > 0]
-        if own and (kind >= 2 or kind == top):
-            best = max(weight[r] for r in own)
-            regions = {int(r) for r in own if weight[r] * 5 >= best}
+    return smooth >= threshold
+
+
+def region_of(parser: Lines, chosen: np.ndarray, size: np.ndarray, share: float) -> list[tuple[int, int]]:
+    """The content region as ranges of containers (first, last)."""
+    kinds, parents = np.array(parser.kinds), parser.parents
+    container = np.array([x[3] for x in parser.lines])
+    weight, last = np.bincount(container, size * chosen, len(kinds)), np.arange(len(kinds))
+    for i in range(len(kinds) - 1, 0, -1):  # parents come before their children
+        weight[parents[i]] += weight[i]
+        last[parents[i]] = max(last[parents[i]], last[i])
+    best = int(np.flatnonzero(weight >= share * weight[0])[-1])  # all that hold so much lie in one another
+    above_it = [best]
+    while above_it[-1]:
+        above_it.append(parents[above_it[-1]])
+    if any(kinds[i] == 3 for i in above_it):
+        own = np.bincount(container, size, len(kinds))
+        return [(int(i), int(last[i])) for i in np.flatnonzero(kinds == 3) if own[i : last[i] + 1].any() and all(kinds[j] != 3 for j in ancestors(parents, i))]
+    if mains := [i for i in above_it if kinds[i] == 2]:
+        return [(mains[0], int(last[mains[0]]))]
+    heading = np.array([x[4] for x in parser.lines])
+    for up in above_it[1:]:  # headings above the region belong to it
+        added = (container >= up) & (container <= last[up]) & ~((container >= best) & (container <= last[best])) & (size > 0)
+        if not heading[added].all():
             break
-    else:
-        regions = {int(region[chosen][0])}
-    within = {r for r in range(len(kinds)) if r in regions}
-    if top < 2:  # no article or main part: every container belongs to the body
-        within = set(range(len(kinds)))
-    return "\n".join(text for (text, _, excluded, r) in lines if r in within and not excluded)
+        best = up
+    return [(best, int(last[best]))]
+
+
+def ancestors(parents: list[int], i: int) -> Iterator[int]:
+    while i:
+        i = parents[i]
+        yield i
+
+
+def main_text(html: str | None, sigma: float = 1.0, share: float = 0.75) -> str:
+    """The main text of one page."""
+    if not html:
+        return ""
+    parser = Lines()
+    parser.feed(html)
+    parser.close()
+    parser.end_line()
+    lines = parser.lines
+    size = np.array([0 if excluded else len(text) for text, _, excluded, _, _ in lines], float)
+    if not size.any():
+        return ""
+    ratio = size / np.maximum(np.array([t for _, t, _, _, _ in lines], float), 1)
+    weights = gaussian(sigma)
+    chosen = above(np.convolve(ratio, weights)[len(weights) // 2 :][: len(lines)]) & (size > 0)
+    region = region_of(parser, chosen if chosen.any() else size > 0, size, share)
+    return "\n".join(text for text, _, excluded, container, _ in lines if not excluded and any(a <= container <= b for a, b in region))
 
 
 OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -268,6 +269,7 @@ def test_grammar_reads_clauses():
     assert one("you are an idiot") == (4, 0, 1)
     assert one("he said that idiot") == (2, 0, 1)
     assert one("not an idiot") == (1, 0, 0)
+    assert one("they aren\u2019t idiots") == one("they aren't idiots") == (1, 0, 1)
     assert one("I will kill you") == (0, 3, 1)
     assert not g.clauses("a fine day. nothing more")
 
@@ -300,6 +302,37 @@ def test_main_text():
     assert main_text.main_text("<p>a <p>b") == "a\nb"
 
 
+PLAIN = "<body><div><ul>" + "<li><a href=x>Menu</a></li>" * 60 + "</ul></div><div><h1>Title</h1><div>" + "<p>Long text of a page that goes on and on for a while here.</p>" * 4 + "</div></div><div><a>x</a> <a>y</a></div></body>"
+
+
+def test_clustered_lines_choose_the_region(monkeypatch):
+    right = "\n".join(["Title", *["Long text of a page that goes on and on for a while here."] * 4])
+    assert main_text.main_text(PLAIN) == right
+    monkeypatch.setattr(main_text, "above", lambda smooth: np.ones(len(smooth), bool))
+    assert "Menu" in main_text.main_text(PLAIN)
+
+
+def test_articles_and_names():
+    two = "<article><p>" + "a long first article " * 20 + "</p></article><nav>no</nav><article><p>short second</p></article>"
+    assert main_text.main_text(f"<body>{two}</body>").endswith("\nshort second")
+    assert main_text.main_text('<div class="share-price"><p>The price rose.</p></div>') == "The price rose."
+    assert main_text.main_text('<body><div class="related-posts">no</div><div class="cookie-banner">no</div><div class="related-work">yes</div></body>') == "yes"
+
+
+@pytest.mark.parametrize("page", ["<b>" * 20_000 + "</i>" * 20_000 + "x", "<b><article>" + "<i>" * 20_000 + "</b>" * 20_000 + "x", "<b>" * 20_000 + "<hr>" * 20_000 + "x", "<article>" * 3000 + "x"])
+def test_unclosed_tags_take_linear_time(page):
+    began = time.perf_counter()
+    assert main_text.main_text(page) == "x" and time.perf_counter() - began < 5
+
+
+def test_odd_pages(spark):
+    rows = [(1, "u", None), (2, None, ""), (None, "v", "<p>a"), (3, "w", "<p>b"), (3, "w", "<p>b"), (4, "x", "<p>" + "word " * 100_000 + "</p>")]
+    pages = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
+    got = sorted(map(tuple, main_text.extract(pages).collect()), key=str)
+    assert got == sorted([(1, "u", "", 0), (2, None, "", 0), (None, "v", "a", 1), (3, "w", "b", 1), (3, "w", "b", 1), (4, "x", " ".join(["word"] * 100_000), 499_999)], key=str)
+    assert main_text.extract(pages.limit(0)).count() == 0
+
+
 def test_lines_keep_the_first(spark):
     rows = [(i, f"own line number {i}\nthe shared line here", f"s{i}") for i in range(8)] + [(20, "a b c d\nshort", "s1")]
     got = {r["doc_id"]: r["text"] for r in line_spread.without_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
