@@ -75,6 +75,16 @@ def test_same_rows_as_sql(spark, name):
     same(QUERIES[name](spark, FOLDER), connect(FOLDER), ORACLES[name])
 
 
+def test_rules_go_by_rejection_for_their_cost(spark):
+    rows = quality_cascade.measured(read(spark, FOLDER, "documents"))
+    found = quality_cascade.ordered_rules(rows)
+    assert {x[0] for x in found} == set(quality_cascade.rules())
+    worth = [(rejected + 1 / rows.count()) / seconds for _, _, rejected, seconds in found]
+    assert worth == sorted(worth, reverse=True)
+    for _, condition, rejected, _ in found:
+        assert rejected == rows.filter(condition).count() / rows.count()
+
+
 def test_words_and_runs_match_a_plain_loop():
     rng = random.Random(3)
     texts = ["", None, "A b", "É!é é", *["".join(rng.choice("ab É\n.") for _ in range(rng.randint(0, 60))) for _ in range(200)]]
