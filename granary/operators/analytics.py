@@ -55,3 +55,13 @@ def last_before(left: DataFrame, right: DataFrame, key: str, ts: str, value: str
     both = left.withColumns({"__v": F.lit(None).cast(right.schema[value].dataType), "__side": F.lit(1)}).unionByName(right.select(key, ts, F.col(value).alias("__v"), F.lit(0).alias("__side")), allowMissingColumns=True)
     frame = Window.partitionBy(key).orderBy(ts, "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return both.withColumn("last_value", F.last("__v", ignorenulls=True).over(frame)).filter("__side = 1").select(*cols, "last_value")
+
+
+def type_counts(rows: DataFrame, column: str = "content_type") -> DataFrame:
+    return rows.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
+
+
+def result_rows(results: DataFrame, widest: int = 50) -> DataFrame:
+    """Results as they are listed: score, shortened title, module, type and URL."""
+    title = F.when(F.length("title") > widest, F.concat(F.left("title", F.lit(widest)), F.lit("..."))).otherwise(F.col("title"))
+    return results.select("query_id", "rank", F.round("score", 3).alias("score"), title.alias("title"), "module", "content_type", F.col("source_url").alias("url"))

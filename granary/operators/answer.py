@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.rules import valid_answer
+from granary.functions.rules import query_error_code, query_param_name, valid_answer
+from granary.operators import templates
 from granary.session import Answers
 
 #: Texts of the answers.
 NOTHING = "Nessuna informazione trovata per la query specificata."
-FALLBACK = "Non ho trovato informazioni sufficienti per rispondere in modo affidabile."
-TIPS = ("Usa termini più specifici", "Indica il modulo o la funzione", "Aggiungi il codice di errore, se presente", "Verifica l'ortografia dei termini")
 SYSTEM_PROMPTS = {
     "parameter": "Rispondi sul parametro richiesto: significato, valori ammessi, valore predefinito, vincoli.",
     "procedure": "Rispondi con i passi della procedura, nell'ordine, con prerequisiti e avvertenze.",
@@ -76,22 +75,6 @@ def related_topics(rows: DataFrame, most: int = 5) -> DataFrame:
     return rows.groupBy("query_id").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("breadcrumbs")))), 1, most).alias("topics"))
 
 
-def sources_text(titles: Column, urls: Column) -> Column:
-    lines = F.transform(F.arrays_zip(titles.alias("t"), urls.alias("u")), lambda x, i: F.format_string("[%d] %s - %s", i + 1, x["t"], x["u"]))
-    return F.concat(F.lit("**Fonti**:\n"), F.array_join(lines, "\n"))
-
-
-def rendered(kind: Column, name: Column, body: Column, sources: Column) -> Column:
-    """The template's text by query type."""
-    head = F.when(kind == "parameter", F.concat(F.lit("**Parametro**: "), name)).when(kind == "procedure", F.concat(F.lit("**Procedura**: "), name)).when(kind == "error", F.concat(F.lit("**Errore**: "), name)).otherwise(name)
-    return F.concat_ws("\n\n", head, body, sources)
-
-
-def fallback_text(suggested: Column) -> Column:
-    tips = "\n".join(f"- {t}" for t in TIPS)
-    return F.concat(F.lit(FALLBACK + "\n\n"), F.when(F.size(suggested) > 0, F.concat(F.lit("Argomenti simili: "), F.array_join(suggested, ", "), F.lit("\n\n"))).otherwise(F.lit("")), F.lit(tips))
-
-
 def prompt(kind: Column, query: Column, context: Column) -> Column:
     system = F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in SYSTEM_PROMPTS.items()])
     return F.concat_ws("\n\n", system, F.concat(F.lit("Domanda: "), query), F.concat(F.lit("Contesto:\n"), context))
@@ -100,14 +83,26 @@ def prompt(kind: Column, query: Column, context: Column) -> Column:
 def answered(results: DataFrame, queries: DataFrame, a: Answers = Answers()) -> DataFrame:
     """One row for each query: answer, confidence and number of sources.
 
-    results: query_id, rank, score, section_path, n_images, title, content, source_url. queries: query_id, query, kind.
+    results: query_id, rank, score, section_path, n_images, title, content, source_url, and where known anchor,
+    module, version, ui_path, param_name, error_code and breadcrumbs of the chunks. queries: query_id, query, kind.
     """
-    kept = quality_filtered(results, a)
-    lists = kept.groupBy("query_id").agg(ranked_list("title").alias("titles"), ranked_list("source_url").alias("urls"), F.min_by("score", "rank").alias("best"), F.avg("score").alias("mean"), F.count("*").alias("n"))
-    met = queries.join(lists.join(combined_content(kept), "query_id"), "query_id", "left")
-    text = rendered(F.col("kind"), F.get("titles", F.lit(0)), F.col("combined"), sources_text(F.col("titles"), F.col("urls")))
-    met = met.withColumn("text", text)
-    good = F.coalesce((F.col("best") >= a.sufficient) & valid_answer(F.col("text"), a.least_chars), F.lit(False))
-    answer = F.when(good, F.col("text")).when(F.col("n").isNull(), F.lit(NOTHING)).otherwise(fallback_text(F.slice("titles", 1, 3)))
-    sure = F.when(good, confidence(F.col("best"), F.col("mean"), F.col("n"), F.col("text"))).otherwise(F.lit(0.0))
+    missing = {c: F.lit(None).cast("string") for c in ("anchor", "module", "version", "ui_path", "param_name", "error_code") if c not in results.columns}
+    if "breadcrumbs" not in results.columns:
+        missing["breadcrumbs"] = F.array().cast("array<string>")
+    kept = quality_filtered(results.withColumns(missing) if missing else results, a)
+    source = F.struct("title", F.col("source_url").alias("url"), "anchor")
+    first = F.struct("title", "content", "module", "version", "ui_path", "param_name", "error_code", "score")
+    lists = kept.withColumn("source", source).groupBy("query_id").agg(ranked_list("source").alias("sources"), F.min_by(first, "rank").alias("first"), F.avg("score").alias("mean"), F.count("*").alias("n"))
+    met = queries.join(lists.join(combined_content(kept), "query_id").join(related_topics(kept), "query_id", "left"), "query_id", "left")
+    facts = {c: F.col(f"first.{c}") for c in ("title", "content", "module", "version", "ui_path")} | {
+        "name": F.coalesce(query_param_name(F.col("query")), F.col("first.param_name"), F.col("first.title")),
+        "code": query_error_code(F.col("query"), F.col("first.error_code")),
+        "combined": F.col("combined"),
+        "topics": F.col("topics"),
+    }
+    met = met.withColumn("text", templates.rendered(F.col("kind"), facts, F.col("sources")))
+    best = F.col("first.score")
+    good = F.coalesce((best >= a.sufficient) & valid_answer(F.col("text"), a.least_chars), F.lit(False))
+    answer = F.when(good, F.col("text")).when(F.col("n").isNull(), F.lit(NOTHING)).otherwise(templates.fallback(F.slice("sources", 1, 3)))
+    sure = F.when(good, confidence(best, F.col("mean"), F.col("n"), F.col("text"))).otherwise(F.lit(0.0))
     return met.select("query_id", "query", "kind", answer.alias("answer"), sure.alias("confidence"), F.coalesce("n", F.lit(0)).alias("n_sources"))

@@ -7,24 +7,27 @@ from pyspark.sql import functions as F
 
 from granary.functions.rules import STEP_START
 from granary.functions.text import content_hash, estimate_tokens, normalize_text, split_paragraphs, split_sentences, stripped, truncate_to_tokens
+from granary.session import Chunking
 
 
-def steps(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, step (from 1), content: lines from one step mark to the next, over 30 characters.
+def with_steps(rows: DataFrame, text: str, column: str) -> DataFrame:
+    """Rows with ``column``: the lines from one step mark to the next, joined, if over 30 characters.
 
-    The islands are folded inside the row, so nothing is shuffled.
+    The lines are a column of their own, so each step is one slice of them and nothing is shuffled.
     """
     lines = F.filter(F.transform(F.split(text, "\n"), stripped), lambda x: x != "")
-    marked = F.transform(lines, lambda x: F.struct(x.alias("line"), x.rlike(STEP_START).alias("start")))
+    rows = rows.withColumn("__lines", lines)
+    begins = F.transform("__lines", lambda x, i: F.when((i == 0) | x.rlike(STEP_START), i + 1))
+    rows = rows.withColumn("__starts", F.filter(begins, lambda i: i.isNotNull()))
+    end = lambda j: F.coalesce(F.get("__starts", j + 1), F.size("__lines") + 1)
+    found = F.transform("__starts", lambda i, j: F.array_join(F.slice("__lines", i, end(j) - i), "\n"))
+    return rows.withColumn(column, F.filter(found, lambda s: F.length(s) > 30)).drop("__lines", "__starts")
 
-    def put(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        extended = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(last, F.lit("\n"), x["line"])))
-        return F.when(x["start"] | (F.size(acc) == 0), F.concat(acc, F.array(x["line"]))).otherwise(extended)
 
-    found = F.aggregate(marked, F.expr("cast(array() as array<string>)"), put)
-    kept = F.filter(found, lambda s: F.length(s) > 30)
-    return rows.select(key, F.posexplode(kept).alias("pos", "content")).select(key, (F.col("pos") + 1).alias("step"), "content")
+def steps(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, step (from 1), content of every step."""
+    found = with_steps(rows, text, "__steps").select(key, F.posexplode("__steps").alias("pos", "content"))
+    return found.select(key, (F.col("pos") + 1).alias("step"), "content")
 
 
 def packed(paragraphs: Column, most_tokens: int = 800) -> Column:
@@ -86,17 +89,53 @@ def table_chunks(rows: DataFrame, key: str, text: str, most_rows: int = 25, keep
     return cut.groupBy(key, "chunk", "head").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("body")).select(key, "chunk", F.concat_ws("\n", F.array_join("head", "\n"), "body").alias("content"))
 
 
-def chunk_texts(kind: Column, text: Column) -> Column:
-    """The texts of a section's chunks by its type."""
-    long = estimate_tokens(text) > 800
-    paragraphs = split_paragraphs(text)
-    return F.when(kind == "error", F.array(text)).when(kind == "parameter", F.when(estimate_tokens(text) <= 200, F.array(text)).otherwise(paragraphs)).otherwise(F.when(long, packed(paragraphs)).otherwise(F.array(text)))
+def table_parts(text: Column, most_rows: int) -> Column:
+    """A Markdown table whole, or in groups of so many rows under what stands before its rule line."""
+    lines = F.split(text, "\n")
+    is_rule = lambda x: F.contains(x, F.lit("---"))
+    rows = F.filter(lines, lambda x: F.contains(x, F.lit("|")) & ~is_rule(x))
+    rule = F.array_position(F.transform(lines, is_rule), F.lit(True)).cast("int")
+    head = F.slice(lines, F.lit(1), F.when(rule > 0, rule - 1).otherwise(F.size(lines)))
+    body = F.slice(rows, F.size(head) + 1, F.greatest(F.size(rows) - F.size(head), F.lit(0)))
+    starts = F.when(F.size(body) > 0, F.sequence(F.lit(1), F.size(body), F.lit(most_rows))).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(rows) <= most_rows, F.array(text)).otherwise(F.transform(starts, lambda i: F.array_join(F.concat(head, F.slice(body, i, F.lit(most_rows))), "\n")))
 
 
-def chunked(sections: DataFrame) -> DataFrame:
-    """One row for each chunk of sections (section_id, content_type, content), with id, hash and normalised text."""
-    cut = sections.select("section_id", "content_type", F.posexplode(chunk_texts(F.col("content_type"), F.col("content"))).alias("pos", "text"))
-    return cut.select(F.format_string("%s_chunk_%03d", "section_id", "pos").alias("chunk_id"), "section_id", "content_type", normalize_text(F.col("text")).alias("content"), content_hash(F.col("text")).alias("hash"))
+def typed_chunks(sections: DataFrame, c: Chunking = Chunking()) -> DataFrame:
+    """Chunks of sections (section_id, content_type, content), by the type of each, with all other columns.
+
+    Adds chunk_id, parent_chunk_id, chunk_type, content (normalised, after the end of the chunk before
+    it, but for parameters) and hash. A long procedure is its summary and a child for each step, a long
+    parameter its paragraphs, a long table groups of rows, an error one chunk, and other long
+    sections paragraphs put together.
+    """
+    kind, text = F.col("content_type"), F.col("content")
+    tokens, paragraphs = estimate_tokens(text), split_paragraphs(text)
+    long = tokens > c.parent_tokens
+    piece = lambda name, child=False: lambda x: F.struct(F.lit(name).alias("chunk_type"), x.alias("text"), F.lit(child).alias("child"))
+    made = lambda name, texts: F.transform(texts, piece(name))
+    procedure = F.when(long, F.concat(made("parent", F.array(summary(text))), F.transform("__steps", piece("step", True)))).otherwise(made("parent", F.array(text)))
+    parameter = made("parameter", F.when(tokens <= c.parameter_tokens, F.array(text)).otherwise(paragraphs))
+    pieces = (
+        F.when(kind == "procedure", procedure)
+        .when(kind == "parameter", parameter)
+        .when(kind == "table", made("table", table_parts(text, c.table_rows)))
+        .when(kind == "error", made("error", F.array(text)))
+        .otherwise(made("concept", F.when(long, packed(paragraphs, c.parent_tokens)).otherwise(F.array(text))))
+    )
+    rows = with_steps(sections.filter(text.isNotNull()), "content", "__steps").withColumn("__pieces", pieces).drop("__steps")
+    rows = rows.withColumn("__texts", F.transform("__pieces", lambda x: normalize_text(x["text"])))
+    joined = F.when(kind == "parameter", F.col("__texts")).when(kind == "procedure", overlapped(F.col("__texts"), c.procedure_overlap)).otherwise(overlapped(F.col("__texts"), c.overlap_tokens))
+    rows = rows.withColumn("__final", joined).select("*", F.posexplode("__pieces").alias("__pos", "__piece"))
+    parent = F.concat("section_id", F.lit("_chunk_000"))
+    child = F.col("__piece.child")
+    return rows.withColumns({
+        "chunk_id": F.when(child, F.format_string("%s_child_%03d", parent, F.col("__pos") - 1)).otherwise(F.format_string("%s_chunk_%03d", "section_id", "__pos")),
+        "parent_chunk_id": F.when(child, parent),
+        "chunk_type": F.col("__piece.chunk_type"),
+        "content": F.get("__final", F.col("__pos")),
+        "hash": content_hash(F.col("__piece.text")),
+    }).drop("__pieces", "__texts", "__final", "__pos", "__piece")
 
 
 def token_prefix(rows: DataFrame, budget: int, order: str = "rank", group: str = "query_id", most: int = 6) -> DataFrame:

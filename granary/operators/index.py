@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granary.schemas import CHUNK
+
+PAYLOAD_FIELDS = ("chunk_id", "title", "content", "content_type", "version", "module", "param_name", "ui_path", "error_code", "source_url")
 EXTENSIONS = ("png", "jpg", "jpeg", "gif", "webp")
 
 
@@ -45,10 +48,31 @@ def lookup(chunks: DataFrame, ids: DataFrame) -> DataFrame:
     return chunks.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
 
 
-def payload(chunk: Column | None = None) -> Column:
+def payload() -> Column:
     """A chunk as JSON without its empty fields, breadcrumbs joined."""
-    fields = ["chunk_id", "title", "content", "content_type", "version", "module", "param_name", "ui_path", "error_code", "source_url"]
-    return F.to_json(F.struct(*[F.nullif(F.col(f), F.lit("")).alias(f) for f in fields], F.array_join("breadcrumbs", " > ").alias("breadcrumbs")), {"ignoreNullFields": "true"})
+    return F.to_json(F.struct(*[F.nullif(F.col(f), F.lit("")).alias(f) for f in PAYLOAD_FIELDS], F.array_join("breadcrumbs", " > ").alias("breadcrumbs")), {"ignoreNullFields": "true"})
+
+
+def from_payload(text: Column) -> Column:
+    """The chunk of a payload; what it leaves out is null, and no breadcrumbs are an empty list."""
+    flat = F.from_json(text, ", ".join(f"{f} string" for f in (*PAYLOAD_FIELDS, "breadcrumbs")))
+    crumbs = F.coalesce(F.split(F.nullif(flat["breadcrumbs"], F.lit("")), " > "), F.array().cast("array<string>"))
+    return F.struct(*[flat[f].alias(f) for f in PAYLOAD_FIELDS], crumbs.alias("breadcrumbs"))
+
+
+def merged_by_id(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Old rows of other keys and all new rows; new rows of one key must be one row."""
+    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def of_url(rows: DataFrame, url: str, without: tuple[str, ...] = ("vector",), most: int = 100) -> DataFrame:
+    """The first rows of a URL, by chunk id, without their vectors."""
+    return rows.filter(F.col("source_url") == url).drop(*without).orderBy("chunk_id").limit(most)
+
+
+def ensure_table(spark: SparkSession, name: str, schema: str = CHUNK) -> None:
+    """Creates the table where it is not there yet."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet")
 
 
 def parents(chunks: DataFrame) -> DataFrame:
