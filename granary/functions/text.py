@@ -48,9 +48,12 @@ def truncate_to_tokens(text: Column, tokens: int) -> Column:
 
 
 def split_sentences(text: Column) -> Column:
-    """Sentences with their end marks, over ten characters long; an unended tail is left out."""
-    found = F.regexp_extract_all(text, F.lit(r"(?s)(.*?[.!?]+)(?:\s|$)"), F.lit(1))
-    return F.filter(F.transform(found, stripped), lambda s: F.length(s) > 10)
+    """Sentences with their end marks, over ten characters long; an unended tail is left out.
+
+    A sentence ends where a blank follows an end mark, which a cut finds in one pass over a text of any length.
+    """
+    ended = F.filter(F.split(text, r"(?<=[.!?])\s"), lambda s: s.rlike(r"[.!?]\z"))
+    return F.filter(F.transform(ended, stripped), lambda s: F.length(s) > 10)
 
 
 def split_paragraphs(text: Column, longer_than: int = 20) -> Column:

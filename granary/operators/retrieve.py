@@ -97,8 +97,8 @@ def fuzzy_terms(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     parts = F.transform(F.sequence(F.lit(0), F.col("edits_allowed")), lambda i: F.struct(i.alias("part"), F.floor(i * F.length("query_term") / (F.col("edits_allowed") + 1)).cast("int").alias("at"), F.floor((i + 1) * F.length("query_term") / (F.col("edits_allowed") + 1)).cast("int").alias("to")))
     keyed = q.withColumn("p", F.explode(parts)).withColumn("shift", F.explode(F.sequence(F.lit(-2), F.lit(2)))).filter(F.abs("shift") <= F.col("edits_allowed"))
     keyed = keyed.select("query_term", "edits_allowed", F.expr("substring(query_term, p.at + 1, p.to - p.at)").alias("piece"), (F.col("p.at") + F.col("shift")).alias("place"), (F.col("p.to") - F.col("p.at")).alias("width")).filter("place >= 0 and width > 0")
-    widths = keyed.select("width").distinct()
-    terms = vocabulary.select("term").distinct().join(F.broadcast(widths)).withColumn("place", F.explode(F.expr("sequence(0, greatest(length(term) - width, 0))")))
+    widths = keyed.agg(F.collect_set("width")).scalar()  # as many as the longest term asked has letters
+    terms = vocabulary.select("term").distinct().withColumn("width", F.explode(widths)).withColumn("place", F.explode(F.expr("sequence(0, greatest(length(term) - width, 0))")))
     pieces = terms.withColumn("piece", F.expr("substring(term, place + 1, width)")).filter(F.length("piece") == F.col("width"))
     met = keyed.join(pieces.select("term", "piece", "place"), ["piece", "place"]).select("query_term", "term", "edits_allowed").distinct()
     return met.withColumn("edits", F.levenshtein("query_term", "term")).filter("edits <= edits_allowed").select("query_term", "term", "edits")

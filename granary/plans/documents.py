@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.operators import analytics, chunking, images, index, ingest, templates
+from granary.operators import analytics, chunking, images, index, ingest, lexical, templates
 from granary.plans.queries import NORMAL, PARAMETERS, SECTION_TYPE, lit, parameters, query, read
 
 
@@ -211,3 +211,30 @@ def answer_layouts(spark, sf_dir):
     sources = F.array(source(F.col("p_name"), "http://x", F.lit("a")), source(F.lit("altro"), "http://y", F.lit(None).cast("string")))
     facts = {"name": F.col("p_name"), "title": F.col("p_name"), "module": F.when(k != 0, F.lit("M")), "version": F.lit("2.0"), "ui_path": F.lit("Menu"), "code": F.lit("ERR-001"), "content": content, "combined": F.lit("testo"), "topics": F.array(F.lit("uno"), F.lit("due"))}
     return read(spark, sf_dir, "part").select("p_partkey", templates.rendered(kind, facts, sources).alias("answer"))
+
+
+# ---- lexical search ---------------------------------------------------------
+
+WORDS = "list_filter(regexp_split_to_array(lower({}), '[^a-z]+'), lambda w: w <> '')"
+
+
+@query(f"""WITH x AS (SELECT p_partkey AS doc_id, 'title' AS field, CAST(1.4 AS DOUBLE) AS boost, {WORDS.format('p_name')} AS words FROM part UNION ALL SELECT p_partkey, 'content', 1.0, {WORDS.format("p_type || ' ' || p_type || ' ' || p_brand")} FROM part),
+    s AS (SELECT field, count(*) AS n, avg(len(words)) AS avgdl FROM x WHERE len(words) > 0 GROUP BY field), tf AS (SELECT field, boost, doc_id, dl, term, count(*) AS tf FROM (SELECT field, boost, doc_id, len(words) AS dl, unnest(words) AS term FROM x) GROUP BY ALL),
+    df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY 1, 2), a AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 200 = 0 THEN lower(p_brand) ELSE left(p_name, length(p_name) - 1) || ' zzz' END AS query FROM part WHERE p_partkey % 100 = 0),
+    q AS (SELECT DISTINCT query_id, unnest({WORDS.format('query')}) AS qt FROM a), e AS (SELECT qt, term, levenshtein(qt, term) AS ed FROM (SELECT DISTINCT qt FROM q), (SELECT DISTINCT term FROM tf) WHERE levenshtein(qt, term) <= CASE WHEN length(qt) <= 2 THEN 0 WHEN length(qt) <= 5 THEN 1 ELSE 2 END),
+    m AS (SELECT query_id, tf.field, doc_id, sum(boost * (1 - ed / least(length(e.qt), length(e.term))) * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 0.9 * (1 - 0.55 + 0.55 * dl / avgdl))) AS score FROM q JOIN e ON q.qt = e.qt JOIN tf ON tf.term = e.term JOIN df ON df.field = tf.field AND df.term = tf.term JOIN s ON s.field = tf.field GROUP BY 1, 2, 3),
+    c AS (SELECT upper(p_brand) AS code, count(*) AS df, (SELECT count(*) FROM part) AS n FROM part GROUP BY 1),
+    u AS (SELECT query_id, doc_id, max(score) AS score FROM m GROUP BY 1, 2 UNION ALL SELECT query_id, p_partkey, 2.5 * ln(1 + (n - df + 0.5) / (df + 0.5)) / 1.9 FROM a JOIN c ON code = upper(query) JOIN part ON upper(p_brand) = code)
+    SELECT query_id, doc_id, round(sum(score), 4) AS score FROM u GROUP BY 1, 2""")
+def lexical_search(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    chunks = part.select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("title"), F.concat_ws(" ", "p_type", "p_type", "p_brand").alias("content"), F.upper("p_brand").alias("error_code"))
+    ask = F.when(F.col("p_partkey") % 200 == 0, F.lower("p_brand")).otherwise(F.concat(F.expr("left(p_name, length(p_name) - 1)"), F.lit(" zzz")))
+    queries = part.filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), ask.alias("query"))
+    found = lexical.lexical_search(queries, chunks, boosts={"title": 1.4, "content": 1.0})
+    return found.withColumn("score", F.round("score", 4))
+
+
+@query(f"SELECT doc_id, term, CAST(count(*) AS INTEGER) AS tf, CAST(dl AS INTEGER) AS dl FROM (SELECT doc_id, unnest({WORDS.format('text')}) AS term, len({WORDS.format('text')}) AS dl FROM documents) GROUP BY doc_id, term, dl")
+def stored_postings(spark, sf_dir):
+    return lexical.postings(read(spark, sf_dir, "documents"), ("text",)).select("doc_id", "term", "tf", "dl")
