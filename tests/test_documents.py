@@ -1,6 +1,7 @@
 """Hand-derived results of chunks by type, ingest, images and answers."""
 
 import pytest
+from granary.functions.text import split_sentences
 from granary.operators import answer, chunking, images, index, ingest
 from granary.plans.documents import text_of
 from pyspark.sql import functions as F
@@ -106,3 +107,8 @@ def test_answers_by_type(spark):
 def test_document_title(spark, given, title):
     rows = spark.createDataFrame([given], "t string, p string")
     assert rows.select(ingest.document_title(F.col("t"), F.col("p"))).first()[0] == title
+
+
+def test_long_texts_without_end_marks_are_cut_in_one_pass(spark):
+    rows = spark.createDataFrame([("parola " * 60_000 + "fine. Altra frase finale! coda",)], "t string")
+    assert [len(s) for s in rows.select(split_sentences(F.col("t"))).first()[0]] == [7 * 60_000 + 5, 19]
