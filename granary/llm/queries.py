@@ -1,4 +1,4 @@
-"""The queries of the ten operators, one for each, over their whole tables."""
+"""The queries of the thirteen operators, one for each, over their whole tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import byte_pair, containment, discriminant, language, line_spread, main_text, order_minhash, quality_cascade, secret_forest, toxic_grammar
+from granary.llm import byte_pair, containment, discriminant, language, line_spread, main_text, order_minhash, quality_cascade, resampling, secret_forest, simhash, toxic_grammar, whitening
 from granary.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,7 +59,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_spread.without_boilerplate(read(spark, sf_dir, "documents")).select("doc_id", "source", "n_removed", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_html_extraction, op3_language_id, op4_quality_rules, op5_bpe, op6_near_duplicates, op7_quality_classifier, op8_decontamination, op9_toxicity, op10_line_dedup)}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(read(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_html_extraction, op3_language_id, op4_quality_rules, op5_bpe, op6_near_duplicates, op7_quality_classifier, op8_decontamination, op9_toxicity, op10_line_dedup, op11_simhash, op12_importance_resampling, op13_embedding_whitening)}
 
 ORACLES: dict[str, str] = {
     "op4_quality_rules": r"""
@@ -99,4 +111,21 @@ ORACLES: dict[str, str] = {
                  FROM (SELECT k.*, (counts AND keeper IS NOT NULL AND doc_id <> keeper) AS drop FROM k LEFT JOIN gone USING (key)) GROUP BY doc_id)
         SELECT d.doc_id, d.source, coalesce(kept.n_removed, 0)::BIGINT AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text
         FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
+    "op12_importance_resampling": r"""
+        WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+        texts AS (SELECT 'd' AS side, row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT 'b', 0, NULL, coalesce(text, '') FROM benchmark),
+        w AS (SELECT side, r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts),
+        f AS (SELECT side, r, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS feature FROM w),
+        h AS (SELECT feature, hex(encode(feature)) AS x FROM (SELECT DISTINCT feature FROM f)),
+        bytes AS (SELECT feature, list_transform(range(0, len(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT) AS b FROM h),
+        bucket AS (SELECT feature, xor(list_reduce(list_prepend(4294967295, b), lambda c, y: xor(c >> 8, (SELECT crc FROM tab)[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes),
+        n AS (SELECT side, r, bucket, count(*) AS n FROM f JOIN bucket USING (feature) GROUP BY side, r, bucket),
+        c AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 'd'), 0) AS s, coalesce(sum(n) FILTER (WHERE side = 'b'), 0) AS t FROM n GROUP BY bucket),
+        gain AS (SELECT bucket, floor(1000 * ln(((t + 1) * ((SELECT sum(s) FROM c) + 10000))::DOUBLE / ((s + 1) * ((SELECT sum(t) FROM c) + 10000))::DOUBLE)) AS gain FROM c),
+        weight AS (SELECT r, sum(n)::BIGINT AS n_features, floor(sum(n * gain) / sum(n))::BIGINT AS weight FROM n JOIN gain USING (bucket) WHERE side = 'd' GROUP BY r),
+        scored AS (SELECT w.doc_id, len(words) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                          ('0x' || sha256('7:' || coalesce(w.doc_id::VARCHAR, 'null'))[1:8])::BIGINT AS x FROM w LEFT JOIN weight USING (r) WHERE side = 'd'),
+        s AS (SELECT doc_id, words, n_features, weight, weight + floor(-1000 * ln(-ln((x + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM scored),
+        k AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS rank FROM s)
+        SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND rank <= (SELECT count(*) FROM s WHERE words >= 20) * 25 // 100 THEN rank END AS rank FROM k""",
 }
