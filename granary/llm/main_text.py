@@ -3,12 +3,19 @@
 The standard library's parser is fed each page and its events make lines: a line is the
 text of one block, with how many tags it holds, the container that it lies in, and
 whether that is of a kind that is never main text (menus, headers and footers of the
-page, sidebars, notices, adverts, forms, scripts, styles, comments of readers). A
+page, sidebars, scripts, styles). A
 line's ratio is its characters by its tags, nothing for excluded lines; the ratios are
 smoothed by a Gaussian and clustered in two by a threshold. The upper lines choose the
 content region: the innermost container that holds ``share`` of their text. Where that lies in articles, the
 region is all articles of the page; where it lies in a main part, that; else it grows
-by headings above it. All the region's lines that are not excluded are the text.
+by headings above it, and lists and parts of it go whose text is links for the most part and of whose lines
+under half are upper ones. All the region's lines that are not excluded are the text.
+
+Forms, and elements whose class or id names what is never main text (notices, adverts, comments of readers, menus), are
+marked, not excluded outright: a name counts by whole class tokens, and not where the token tells the
+state or layout of a page (has-sidebar, nav-open). A mark goes if its element holds the page's main article (the
+``main`` or ``article`` of most upper text, more than lies outside of all marks), or by its name alone if it holds a first heading and nearly all of the page's upper
+text; the lines under the marks that are left are excluded.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are joined by line ends in page order. Null and empty pages give the
@@ -22,6 +29,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,58 +41,99 @@ from granary.llm.tables import emit
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("head script style noscript template iframe object svg canvas math audio video select button textarea title".split())
-EXCLUDED = frozenset("nav footer aside form menu dialog".split())
+EXCLUDED = frozenset("nav footer aside menu dialog".split())
 #: Elements that can be the content region, and those that say themselves what they are.
 CONTAINERS = frozenset("html body main article section div td center details".split())
 REGIONS = {"article": 3, "main": 2, "body": 1}
+#: Parts of a region that can be lists of links.
+GROUPS = CONTAINERS | frozenset("ul ol dl table".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words of class names and ids that mark what is never main text; the doubtful ones do so alone or beside a word of layout.
-SURE = r"ads?|advert\w*|sponsor\w*|nav|navbar|navigation|menus?|breadcrumbs?|sidebar|footer|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|comments?|disqus|pagination|pager|masthead|site-header|page-header|skip-link|print-only|social"
-DOUBTFUL = r"aside|banner|login|notices?|promo\w*|recommend\w*|related|replies|respond|share|sharing|signup|toc|widget"
-LAYOUT = r"area|articles?|bar|block|bottom|box|button|buttons|container|content|form|icons|inner|left|links|list|news|pages|posts|reading|right|section|site|stories|tools|top|topics|user|wrap|wrapper|\d+"
-NAMES = re.compile(rf"(?:^|[^a-z])(?:{SURE})(?:$|[^a-z])|(?:^|\s)(?:(?:{LAYOUT})[-_])*(?:{DOUBTFUL})(?:[-_](?:{LAYOUT}|{DOUBTFUL}))*(?:$|\s)")
-ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
+#: Words of class names and ids that mark what is never main text; the doubtful ones do so alone or beside words of layout.
+SURE = re.compile(r"ads?|advert\w*|sponsor\w*|nav|navbar|navigation|menus?|breadcrumbs?|sidebar|footer|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|comments?|disqus|pagination|pager|masthead|social")
+SURE_PHRASES = ("site-header", "page-header", "skip-link", "print-only")
+DOUBTFUL = re.compile(r"aside|banner|login|notices?|promo\w*|recommend\w*|related|replies|respond|share|sharing|signup|toc|widget")
+LAYOUT = re.compile(r"area|articles?|bar|block|bottom|box|button|buttons|container|content|form|icons|inner|left|links|list|news|pages|posts|reading|right|section|site|stories|tools|top|topics|user|wrap|wrapper|\d+")
+#: Words that tell that a name speaks of a page's state or layout, not of what the element is.
+STATES = frozenset("has no not with without is are open opened close closed enabled disabled active inactive visible spacing on off ready loaded collapsed expanded less free offset margin padding layout template theme grid column columns col".split())
+ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert".split())
 #: An end tag also ends these when they are still open inside it; a start tag of the same kind ends an open one.
 CLOSED_BY = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
 
 
+def is_named(names: str) -> bool:
+    """Whether one of some class names and ids marks what is never main text."""
+    for token in names.split():
+        words = [w for w in re.split(r"[^a-z0-9]+", token) if w]
+        if STATES.isdisjoint(words):
+            doubtful = [bool(DOUBTFUL.fullmatch(w)) for w in words]
+            if any(map(SURE.fullmatch, words)) or any(x in "-".join(words) for x in SURE_PHRASES) or any(doubtful) and all(d or LAYOUT.fullmatch(w) for d, w in zip(doubtful, words, strict=True)):
+                return True
+    return False
+
+
+class Open(NamedTuple):
+    """An open element, and what holds for the text in it: numbers of the container, mark and group that it lies in (0: none)."""
+
+    tag: str
+    skipped: bool = False
+    excluded: bool = False
+    container: int = 0
+    mark: int = 0
+    group: int = 0
+    linked: bool = False
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    excluded: bool
+    container: int
+    mark: int
+    group: int
+    heading: str  # its tag
+    linked: int  # characters in links
+
+
 class Lines(HTMLParser):
-    """Turns a page's events into lines (text, tags, excluded, container, whether a heading) and containers (kind, parent), numbered in page order."""
+    """Turns a page's events into lines, and into containers, marks and groups, all numbered in page order."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, int]] = []  # tag, skipped, excluded, container
+        self.open: list[Open] = []
         self.blocks: list[int] = []  # places of block elements in open
         self.counts: list[Counter] = [Counter()]  # open tags inside each open region
-        self.lines: list[tuple[str, int, bool, int, bool]] = []
-        self.kinds, self.parents = [0], [0]
+        self.lines: list[Line] = []
+        self.kinds, self.parents, self.container_marks = [0], [0], [0]
+        self.mark_parents, self.mark_names = [0], [False]  # a form's mark has no name
+        self.group_parents = [0]
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags, self.linked = 0, 0
 
-    def state(self) -> tuple[bool, bool, int]:
-        return self.open[-1][1:] if self.open else (False, False, 0)
+    def state(self) -> Open:
+        return self.open[-1] if self.open else Open("")
 
     def end_line(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                _, excluded, container = self.state()
-                heading = bool(self.blocks) and self.open[self.blocks[-1]][0] in HEADINGS
-                self.lines.append((text, self.tags, excluded, container, heading))
+                now = self.state()
+                block = self.open[self.blocks[-1]].tag if self.blocks else ""
+                self.lines.append(Line(text, self.tags, now.excluded, now.container, now.mark, now.group, block if block in HEADINGS else "", min(self.linked, len(text))))
                 self.tags = 0
-            self.parts = []
+            self.parts, self.linked = [], 0
 
-    def push(self, tag: str, skipped: bool, excluded: bool, container: int) -> None:
+    def push(self, element: Open) -> None:
+        tag = element.tag
         self.counts[-1][tag] += 1
         if tag in REGIONS:
             self.counts.append(Counter())
         if tag in BLOCKS:
             self.blocks.append(len(self.open))
-        self.open.append((tag, skipped, excluded, container))
+        self.open.append(element)
 
     def pop_to(self, depth: int) -> None:
         while len(self.open) > depth:
-            tag = self.open.pop()[0]
+            tag = self.open.pop().tag
             if tag in REGIONS:
                 self.counts.pop()
             self.counts[-1][tag] -= 1
@@ -95,26 +144,35 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.end_line()
-            while self.open and tag in CLOSED_BY.get(self.open[-1][0], ()):
+            while self.open and tag in CLOSED_BY.get(self.open[-1].tag, ()):
                 self.pop_to(len(self.open) - 1)
             # an inline tag left open does not hold the next block's paragraph
-            if self.blocks and tag in CLOSED_BY.get(self.open[self.blocks[-1]][0], ()):
+            if self.blocks and tag in CLOSED_BY.get(self.open[self.blocks[-1]].tag, ()):
                 self.pop_to(self.blocks[-1])
         elif tag == "br":
             self.parts.append(" ")
         if tag in VOID:
             return
-        skipped, excluded, container = self.state()
+        now = self.state()
         given = {k: (v or "").lower() for k, v in attrs}
         inside = len(self.counts) > 1 and any(c["article"] or c["main"] for c in self.counts)
-        excluded = excluded or tag in EXCLUDED or (tag == "header" and not inside) or given.get("role", "") in ROLES or "hidden" in given or given.get("aria-hidden") == "true"
-        if not excluded and tag not in REGIONS and (named := f"{given.get('class', '')} {given.get('id', '')}".strip()):
-            excluded = NAMES.search(named) is not None
+        excluded = now.excluded or tag in EXCLUDED or (tag == "header" and not inside) or given.get("role", "") in ROLES or "hidden" in given or given.get("aria-hidden") == "true"
+        mark, container, group = now.mark, now.container, now.group
+        if not excluded and tag not in REGIONS:
+            named = is_named(f"{given.get('class', '')} {given.get('id', '')}")
+            if named or tag == "form" or given.get("role") == "form":
+                self.mark_parents.append(mark)
+                self.mark_names.append(named and tag != "form")
+                mark = len(self.mark_parents) - 1
         if tag in CONTAINERS or given.get("role") == "main":
             self.parents.append(container)
             container = len(self.kinds)
             self.kinds.append(REGIONS.get(tag, 2 if given.get("role") == "main" else 0))
-        self.push(tag, skipped or tag in SKIPPED, excluded, container)
+            self.container_marks.append(mark)
+        if tag in GROUPS:
+            self.group_parents.append(group)
+            group = len(self.group_parents) - 1
+        self.push(Open(tag, now.skipped or tag in SKIPPED, excluded, container, mark, group, now.linked or (tag == "a" and "href" in given)))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -128,13 +186,16 @@ class Lines(HTMLParser):
         # an end tag ends nothing outside its region, unless it is a region's
         if (any(c[tag] for c in self.counts) if tag in REGIONS else self.counts[-1][tag]) > 0:
             at = len(self.open) - 1
-            while self.open[at][0] != tag:
+            while self.open[at].tag != tag:
                 at -= 1
             self.pop_to(at)
 
     def handle_data(self, data: str) -> None:
-        if not (self.open and self.open[-1][1]):
+        now = self.state()
+        if not now.skipped:
             self.parts.append(data)
+            if now.linked:
+                self.linked += len(data)
 
 
 def gaussian(sigma: float) -> np.ndarray:
@@ -157,36 +218,99 @@ def above(smooth: np.ndarray) -> np.ndarray:
     return smooth >= threshold
 
 
-def region_of(parser: Lines, chosen: np.ndarray, size: np.ndarray, share: float) -> list[tuple[int, int]]:
-    """The content region as ranges of containers (first, last)."""
-    kinds, parents = np.array(parser.kinds), parser.parents
-    container = np.array([x[3] for x in parser.lines])
-    weight, last = np.bincount(container, size * chosen, len(kinds)), np.arange(len(kinds))
-    for i in range(len(kinds) - 1, 0, -1):  # parents come before their children
-        weight[parents[i]] += weight[i]
+def smoothed(lines: list[Line], size: np.ndarray, sigma: float) -> np.ndarray:
+    """Which lines are of the upper cluster of smoothed ratios."""
+    ratio = size / np.maximum(np.array([x.tags for x in lines], float), 1)
+    weights = gaussian(sigma)
+    return above(np.convolve(ratio, weights)[len(weights) // 2 :][: len(lines)]) & (size > 0)
+
+
+def up_to(parents: list[int], i: int) -> Iterator[int]:
+    """``i`` and what it lies in, the innermost first, without 0."""
+    while i:
+        yield i
+        i = parents[i]
+
+
+def with_inner(parents: list[int], own: np.ndarray) -> np.ndarray:
+    """Sums of each node and all that lies in it; parents come before their children."""
+    out = own.astype(float)
+    for i in range(len(parents) - 1, 0, -1):
+        out[parents[i]] += out[i]
+    return out
+
+
+def lasts(parents: list[int]) -> np.ndarray:
+    """The last number of what lies in each node."""
+    last = np.arange(len(parents))
+    for i in range(len(parents) - 1, 0, -1):
         last[parents[i]] = max(last[parents[i]], last[i])
+    return last
+
+
+def marked(parser: Lines, size: np.ndarray, chosen: np.ndarray, little: float = 0.05) -> np.ndarray:
+    """Which lines lie under a mark, after those marks are taken back that hold the page's main part."""
+    n, mark = len(parser.mark_parents), np.array([x.mark for x in parser.lines])
+    if n == 1:
+        return mark > 0
+    container = np.array([x.container for x in parser.lines])
+    weight, held, last = size * chosen, np.ones(n, bool), lasts(parser.parents)
+    held[0] = False
+    # the text of each region under no mark but its own; of nested ones the outer holds the inner's
+    kinds, own_mark = np.array(parser.kinds), np.array(parser.container_marks)
+    regions = np.flatnonzero(kinds >= 2)
+    order = np.argsort(container, kind="stable")
+    best, most = 0, 0.0
+    for i in regions:
+        a, b = np.searchsorted(container[order], [i, last[i] + 1])
+        here = order[a:b]
+        if (own := float(weight[here][mark[here] == own_mark[i]].sum())) > most:
+            best, most = int(i), own
+    if best and most > weight[mark == 0].sum():
+        for m in up_to(parser.mark_parents, int(own_mark[best])):
+            held[m] = False
+    headings = np.array([x.heading == "h1" for x in parser.lines])
+    inner, first = (with_inner(parser.mark_parents, np.bincount(mark, v, n)) for v in (weight, headings * 1.0))
+    own = np.bincount(mark, weight, n)
+    free = np.zeros(n, bool)  # neither held nor in a held mark
+    free[0] = True
+    for m in range(1, n):  # an outer mark comes before those in it
+        if held[m] and parser.mark_names[m] and first[m] and inner[m] >= (1 - little) * weight.sum() and own[free].sum() < little * weight.sum():
+            held[m] = False
+        free[m] = not held[m] and free[parser.mark_parents[m]]
+    return ~free[mark]
+
+
+def region_of(parser: Lines, chosen: np.ndarray, size: np.ndarray, share: float) -> tuple[list[tuple[int, int]], bool]:
+    """The content region as ranges of containers (first, last), and whether an article or main part says so too."""
+    kinds, parents = np.array(parser.kinds), parser.parents
+    container = np.array([x.container for x in parser.lines])
+    weight, last = with_inner(parents, np.bincount(container, size * chosen, len(kinds))), lasts(parents)
     best = int(np.flatnonzero(weight >= share * weight[0])[-1])  # all that hold so much lie in one another
-    above_it = [best]
-    while above_it[-1]:
-        above_it.append(parents[above_it[-1]])
+    above_it = [*up_to(parents, best), 0]
     if any(kinds[i] == 3 for i in above_it):
         own = np.bincount(container, size, len(kinds))
-        return [(int(i), int(last[i])) for i in np.flatnonzero(kinds == 3) if own[i : last[i] + 1].any() and all(kinds[j] != 3 for j in ancestors(parents, i))]
+        return [(int(i), int(last[i])) for i in np.flatnonzero(kinds == 3) if own[i : last[i] + 1].any() and all(kinds[j] != 3 for j in up_to(parents, parents[i]))], True
     if mains := [i for i in above_it if kinds[i] == 2]:
-        return [(mains[0], int(last[mains[0]]))]
-    heading = np.array([x[4] for x in parser.lines])
+        return [(mains[0], int(last[mains[0]]))], True
+    heading = np.array([bool(x.heading) for x in parser.lines])
     for up in above_it[1:]:  # headings above the region belong to it
         added = (container >= up) & (container <= last[up]) & ~((container >= best) & (container <= last[best])) & (size > 0)
         if not heading[added].all():
             break
         best = up
-    return [(best, int(last[best]))]
+    return [(best, int(last[best]))], False
 
 
-def ancestors(parents: list[int], i: int) -> Iterator[int]:
-    while i:
-        i = parents[i]
-        yield i
+def link_lists(parser: Lines, size: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Which lines lie in a group whose text is links for the most part and of whose lines under half are upper ones."""
+    group, n = np.array([x.group for x in parser.lines]), len(parser.group_parents)
+    totals = lambda v: with_inner(parser.group_parents, np.bincount(group, v, n))
+    gone = (2 * totals(np.array([x.linked for x in parser.lines]) * (size > 0)) > totals(size)) & (2 * totals(chosen * 1.0) < totals((size > 0) * 1.0))
+    gone[0] = False
+    for i in range(1, n):
+        gone[i] |= gone[parser.group_parents[i]]
+    return gone[group]
 
 
 def main_text(html: str | None, sigma: float = 1.0, share: float = 0.75) -> str:
@@ -198,14 +322,19 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.75) -> str:
     parser.close()
     parser.end_line()
     lines = parser.lines
-    size = np.array([0 if excluded else len(text) for text, _, excluded, _, _ in lines], float)
+    size = np.array([0 if x.excluded else len(x.text) for x in lines], float)
     if not size.any():
         return ""
-    ratio = size / np.maximum(np.array([t for _, t, _, _, _ in lines], float), 1)
-    weights = gaussian(sigma)
-    chosen = above(np.convolve(ratio, weights)[len(weights) // 2 :][: len(lines)]) & (size > 0)
-    region = region_of(parser, chosen if chosen.any() else size > 0, size, share)
-    return "\n".join(text for text, _, excluded, container, _ in lines if not excluded and any(a <= container <= b for a, b in region))
+    size[marked(parser, size, smoothed(lines, size, sigma))] = 0
+    if not size.any():
+        return ""
+    chosen = smoothed(lines, size, sigma)
+    chosen = chosen if chosen.any() else size > 0
+    region, hinted = region_of(parser, chosen, size, share)
+    kept = np.array([any(a <= x.container <= b for a, b in region) for x in lines]) & (size > 0)
+    if not hinted:
+        kept &= ~link_lists(parser, size * kept, chosen & kept)
+    return "\n".join(x.text for x, k in zip(lines, kept, strict=True) if k)
 
 
 OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

@@ -118,7 +118,7 @@ ORACLES: dict[str, str] = {
         f AS (SELECT side, r, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS feature FROM w),
         h AS (SELECT feature, hex(encode(feature)) AS x FROM (SELECT DISTINCT feature FROM f)),
         bytes AS (SELECT feature, list_transform(range(0, len(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT) AS b FROM h),
-        bucket AS (SELECT feature, xor(list_reduce(list_prepend(4294967295, b), lambda c, y: xor(c >> 8, (SELECT crc FROM tab)[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes),
+        bucket AS (SELECT feature, xor(list_reduce(list_prepend(4294967295, b), lambda c, y: xor(c >> 8, crc[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes, tab),
         n AS (SELECT side, r, bucket, count(*) AS n FROM f JOIN bucket USING (feature) GROUP BY side, r, bucket),
         c AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 'd'), 0) AS s, coalesce(sum(n) FILTER (WHERE side = 'b'), 0) AS t FROM n GROUP BY bucket),
         gain AS (SELECT bucket, floor(1000 * ln(((t + 1) * ((SELECT sum(s) FROM c) + 10000))::DOUBLE / ((s + 1) * ((SELECT sum(t) FROM c) + 10000))::DOUBLE)) AS gain FROM c),
