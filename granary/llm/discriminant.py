@@ -101,17 +101,17 @@ def statistics(array: pa.Array) -> np.ndarray:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of every whole text."""
-    schema = pa.schema([("doc_id", pa.int64()), *((s, pa.float64()) for s in STATISTICS)])
+    """doc_id, text_hash and the statistics of every whole text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), *((s, pa.float64()) for s in STATISTICS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
                 found = statistics(part.column(1))
-                yield from emit([{"doc_id": part.column(0)} | {s: found[:, i] for i, s in enumerate(STATISTICS)}], schema)
+                yield from emit([{"doc_id": part.column(0), "text_hash": part.column(2)} | {s: found[:, i] for i, s in enumerate(STATISTICS)}], schema)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
 class Discriminant:
@@ -154,11 +154,11 @@ def fit(described: DataFrame, labels: DataFrame, shrinkage: float = 0.1) -> Disc
     return Discriminant(moments, shrinkage)
 
 
-OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
+OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("text_hash", pa.int64())])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document.
+    """doc_id, held_out, score, predicted and text_hash (xxhash64 of its text) of every document.
 
     The statistics are made once and kept in the shared folder; fit and scoring
     read them from there.
@@ -171,7 +171,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1, t
         for batch in batches:
             x = np.stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(len(STATISTICS))], 1) if batch.num_rows else np.zeros((0, len(STATISTICS)))
             score = fitted.scores(x)
-            yield from emit([{"doc_id": batch.column(0), "held_out": batch.column(len(STATISTICS) + 1), "score": score, "predicted": (score >= threshold).astype(np.int32)}], OUT)
+            yield from emit([{"doc_id": batch.column(0), "held_out": batch.column(len(STATISTICS) + 1), "score": score, "predicted": (score >= threshold).astype(np.int32), "text_hash": batch.column(len(STATISTICS) + 2)}], OUT)
 
-    rows = described.select("doc_id", *STATISTICS, (fold("doc_id", 4) == 2).alias("held_out"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    rows = described.select("doc_id", *STATISTICS, (fold("doc_id", 4) == 2).alias("held_out"), "text_hash")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, text_hash long")

@@ -72,9 +72,13 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
 
 class ContextTables:
-    """Code lengths in bits by context state and symbol, for all languages."""
+    """Code lengths in bits by context state and symbol, for all languages.
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], least: int = 2):
+    Contexts seen ``least`` times or more are kept, all by default. The table that tasks get holds four bytes for each
+    context, symbol and language; it fails beyond ``most_bytes``, so take fewer texts of each language then.
+    """
+
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], least: int = 1, most_bytes: int = 1 << 30):
         self.langs = sorted(counts)
         seen = np.unique(np.concatenate([g & 255 for g, _ in counts.values()])) if counts else np.zeros(0, np.int64)
         self.size = len(seen) + 1
@@ -103,6 +107,8 @@ class ContextTables:
             found, n_of = np.unique(np.concatenate([key // k for key, _ in by_order[order]]), return_inverse=True)
             total = np.bincount(n_of, np.concatenate([n for _, n in by_order[order]]))
             found = found[total >= least]
+            if 4 * (first + found.size) * k * len(self.langs) > most_bytes:
+                raise ValueError(f"the context tables of {len(self.langs)} languages take over {most_bytes} bytes; learn from fewer texts")
             shorter = found % k ** (order - 1)
             place = np.searchsorted(contexts_before, shorter)
             now = base[place].copy()

@@ -1,6 +1,6 @@
 """Operator 10 [native]: boilerplate lines by their spread over sites.
 
-Each document is cut at line ends. For every line of three words or more (trimmed, hashed to
+Each document is cut at line ends. For every line with a word (trimmed, hashed to
 96 bits) a HyperLogLog sketch of its sites merges over tasks, so a line that very many
 documents share costs one sketch a task. Lines whose estimate is clearly above
 the threshold are boilerplate, lines clearly below are not, and those near it get an
@@ -14,8 +14,9 @@ matching lines are shuffled to their documents; texts move once, to meet the lis
 lines to remove.
 
 Null texts stay null, empty texts empty. Null sites count as one site named by the
-empty text. Rows with a null id keep their text. Shorter lines always stay. Repeated rows count once for a
-site, and each is cleaned. An empty table gives no rows. Extra columns go through.
+empty text. Rows with a null id keep their text. Lines without a word always stay. Repeated rows count once for a
+site, and each is cleaned. An empty table gives no rows. Extra columns go through, but for one named n_removed, which
+the count replaces.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.tables import saved
 
-SITES, LEAST_WORDS, MOST_BROADCAST, SALTS = 6, 3, 200_000, 32
+SITES, LEAST_WORDS, MOST_BROADCAST, SALTS = 6, 1, 200_000, 32
 
 
 def at_least(words: int) -> str:

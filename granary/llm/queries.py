@@ -97,15 +97,16 @@ ORACLES: dict[str, str] = {
         FROM f""",
     "op8_decontamination": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
-        b AS (SELECT item_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
-        ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM d),
-        bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM b),
+        i AS (SELECT item_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+        b AS (SELECT item_id, w, least(5, len(w)) AS k FROM i WHERE len(w) > 0),
+        ds AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM d, (SELECT DISTINCT k FROM b)),
+        bs AS (SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM b),
         n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id),
-        m AS (SELECT doc_id, item_id, count(*) AS k FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
-        SELECT doc_id, item_id, k::DOUBLE / n AS containment, k::BIGINT AS n_shared FROM m JOIN n USING (item_id) WHERE k >= ceil(0.8 * n - 1e-9)""",
+        m AS (SELECT doc_id, item_id, count(*) AS c FROM ds JOIN bs USING (k, s) GROUP BY doc_id, item_id)
+        SELECT doc_id, item_id, c::DOUBLE / n AS containment, c::BIGINT AS n_shared FROM m JOIN n USING (item_id) WHERE c >= ceil(0.8 * n - 1e-9)""",
     "op10_line_dedup": r"""
         WITH l AS (SELECT doc_id, coalesce(source, '') AS site, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, unnest(string_split(text, chr(10))) AS line FROM documents),
-        k AS (SELECT *, regexp_replace(line, '^[ \t-\r]+|[ \t-\r]+$', '', 'g') AS key, len(regexp_extract_all(line, '[^ \t-\r]+')) >= 3 AS counts FROM l),
+        k AS (SELECT *, regexp_replace(line, '^[ \t-\r]+|[ \t-\r]+$', '', 'g') AS key, regexp_matches(line, '[^ \t-\r]') AS counts FROM l),
         gone AS (SELECT key, min(doc_id) AS keeper FROM k WHERE counts GROUP BY key HAVING count(DISTINCT site) >= 6),
         kept AS (SELECT doc_id, count(*) FILTER (WHERE drop) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT drop), '') AS text
                  FROM (SELECT k.*, (counts AND keeper IS NOT NULL AND doc_id <> keeper) AS drop FROM k LEFT JOIN gone USING (key)) GROUP BY doc_id)

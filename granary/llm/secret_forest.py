@@ -1,6 +1,8 @@
 """Operator 1: secret scan with a random forest against false positives.
 
-Candidates are runs of 16 or more letters, digits and the signs ``+ / = _ -`` that
+Candidates are private key blocks, signed web tokens of three parts, passwords in addresses
+(``://user:password@``), values of six or more signs that are assigned to a name such as password, secret, token or key, and
+all other runs of 16 or more letters, digits and the signs ``+ / = _ -`` that
 hold a digit or both cases. A forest of decision trees, trained on labelled
 findings, scores each one by its length, its character transitions, how much of it a
 dictionary covers, the path of its document and the words around it.
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +36,19 @@ from granary.llm.tables import emit, opened, share, slices, string_bytes
 
 LEAST = 16
 IN_TOKEN = np.isin(np.arange(256), np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-", np.uint8))
-CANDIDATE = re.compile(r"[A-Za-z0-9+/=_\-]{16,}")
+#: The name before an assigned value; what stands before one is looked for in so many characters.
+NAME = r"(?:passw(?:or)?d|passphrase|pwd|secret|token|api[_\- ]?key|access[_\- ]?key|auth|credentials?|signature|key)"
+ASSIGNED = rf"(?i:{NAME}[\"'`]?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}})"
+ADDRESS = r"://[^\s/:@\"']{1,64}:[^\s/@\"']{3,128}@"
+CANDIDATE = re.compile(
+    r"(?P<block>-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s:,\-]{0,20000}?-----END [A-Z ]{0,30}PRIVATE KEY-----)"
+    r"|(?P<signed>\beyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,})"
+    r"|://[^\s/:@\"']{1,64}:(?P<address>[^\s/@\"']{3,128})(?=@)"
+    rf"|{ASSIGNED}(?:\"(?P<double>[^\"\s]{{6,200}})\"|'(?P<single>[^'\s]{{6,200}})'|`(?P<back>[^`\s]{{6,200}})`|(?P<bare>[^\s\"'`,;<>(){{}}\[\]]{{6,200}}))"
+    r"|(?P<run>[A-Za-z0-9+/=_\-]{16,})"
+)
+#: Texts without a long run can hold a candidate only where this is found.
+LIKELY = rf"{ASSIGNED}|{ADDRESS}|-----BEGIN "
 #: Words of the dictionary, words that speak for and against a secret, parts of paths.
 DICTIONARY = """the and for that with this from have are was not you all can her his one our out day get has him how man new now old see two way who
 test example sample data file name value type list item user admin config default local remote server client index table field column count
@@ -43,7 +58,7 @@ tion ing ent ion ate ness ment able er est""".split()
 FOR = "password passwd pwd secret token api_key apikey api-key key auth authorization bearer credential credentials private access client_secret signature".split()
 AGAINST = "sha sha1 sha256 md5 checksum hash digest commit revision uuid guid id etag version example integrity build fixture placeholder url path image".split()
 PATHS = "test tests spec example examples doc docs fixture mock lock vendor node_modules dist sample".split()
-FEATURES = 18
+FEATURES = 21
 
 
 def kind(c: str) -> int:
@@ -51,7 +66,8 @@ def kind(c: str) -> int:
 
 
 def describe(candidate: str, before: str, after: str, path: str) -> list[float]:
-    """The features of one finding."""
+    """The features of one finding; of a very long one, of its first 400 characters but for its length."""
+    long, candidate = len(candidate), candidate[:400]
     n = len(candidate)
     kinds = [kind(c) for c in candidate]
     counts = Counter(candidate)
@@ -72,8 +88,9 @@ def describe(candidate: str, before: str, after: str, path: str) -> list[float]:
     quoted = before[-1:] in "\"'`" and after[:1] in "\"'`" and before[-1:] != ""
     longest = max((len(w) for w in re.findall(r"[a-z]+", low)), default=0)
     parts = re.split(r"[^a-z_]+", path.lower())
+    forms = [float(candidate.startswith("-----BEGIN")), float(candidate.startswith("eyJ") and candidate.count(".") == 2), float(re.search(r"://[^\s/:@]+:$", before) is not None)]
     return [
-        min(n, 200), entropy, moves, sum(covered) / n, kinds.count(2) / n, kinds.count(1) / n, kinds.count(3) / n,
+        *forms, min(long, 200), entropy, moves, sum(covered) / n, kinds.count(2) / n, kinds.count(1) / n, kinds.count(3) / n,
         float(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", candidate) is not None), float(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", candidate) is not None),
         vowels, longest / n, float(near), float(quoted), float(any(w in FOR or any(w.endswith(f) for f in FOR if len(f) > 4) for w in words)),
         float(any(w in AGAINST for w in words)), float(any(p in PATHS for p in parts)), float(len(counts) / n), float(candidate.count("/") / n),
@@ -87,16 +104,28 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, str, str,
     hexed = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
     mixed = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(k))
     out = []
+    sign = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789!@#$%^&*._+") for _ in range(k))
+    web = lambda: ".".join("eyJ" * (i == 0) + mixed(r.randint(20, 60)) for i in range(3))
+    block = lambda: (lambda k: f"-----BEGIN {k}PRIVATE KEY-----\n" + "\n".join(mixed(64) for _ in range(r.randint(2, 12))) + f"\n-----END {k}PRIVATE KEY-----")(r.choice(["", "RSA ", "EC ", "OPENSSH "]))
     for _ in range(n):
         path, prose = r.choice(["src/app.py", "config/prod.yaml", "src0", "deploy/env.sh", "notes.md"]), " ".join(word() for _ in range(r.randint(0, 4)))
         if r.random() < 0.5:
-            secret = r.choice([lambda: hexed(r.choice([32, 40, 64])), lambda: mixed(r.randint(20, 48)), lambda: base64.b64encode(r.randbytes(r.choice([24, 32, 48]))).decode(), lambda: "AKIA" + mixed(16).upper(), lambda: r.choice(["ghp_", "sk_live_", "xoxb-"]) + mixed(36)])()
+            secret = r.choice([lambda: hexed(r.choice([32, 40, 64])), lambda: mixed(r.randint(20, 48)), lambda: base64.b64encode(r.randbytes(r.choice([24, 32, 48]))).decode(), lambda: "AKIA" + mixed(16).upper(), lambda: r.choice(["ghp_", "sk_live_", "xoxb-"]) + mixed(36), lambda: sign(r.randint(8, 15)), lambda: word() + str(r.randint(0, 9999)) + r.choice("!?#$") + sign(2), lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(24, 40)))])()
             if r.random() < 0.1:
                 secret = secret.upper()
             q, name = r.choice(['"', "'", ""]), r.choice(FOR)
-            named = r.choice([f"{name} = {q}", f"{name}={q}", f"{name}: {q}", f"{name.upper()} = {q}", f"my_{name} = {q}"]) if r.random() < 0.9 else r.choice(["", "Bearer "])
-            out.append((secret, f"{prose} {named}", f"{q} {word()}", path, 1))
+            named = r.choice([f"{name} = {q}", f"{name}={q}", f"{name}: {q}", f"{name.upper()} = {q}", f"my_{name} = {q}"]) if r.random() < 0.9 or len(secret) < 16 else r.choice(["", "Bearer "])
+            form = r.random()
+            if form < 0.1:
+                out.append((sign(r.randint(6, 20)).replace("@", "x"), f"{prose} {r.choice(['postgres', 'mysql', 'https', 'amqp', 'redis'])}://{word()}:", f"@{word()}.com", path, 1))
+            elif form < 0.15:
+                out.append((web(), f"{prose} {r.choice(['Bearer ', 'token = ', ''])}", f" {word()}", path, 1))
+            elif form < 0.2:
+                out.append((block(), f"{prose} ", f" {word()}", path, 1))
+            else:
+                out.append((secret, f"{prose} {named}", f"{q} {word()}", path, 1))
         else:
+            q = r.choice(['"', "'", ""])
             make, name = r.choice([
                 (lambda: hexed(r.choice([32, 40, 64])), r.choice(["sha256: ", "commit ", "md5 = ", "checksum: ", "etag: "])),
                 (lambda: f"{hexed(8)}-{hexed(4)}-{hexed(4)}-{hexed(4)}-{hexed(12)}", r.choice(["id = ", "uuid: ", "", "request "])),
@@ -105,9 +134,14 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, str, str,
                 (lambda: "_".join(word() for _ in range(5)) + str(r.randint(0, 9)), r.choice(["", "name = "])),
                 (lambda: r.choice(["example_key_0123456789", "your-api-key-here-0000", "xxxxxxxxxxxxxxxxxxx1", "test_token_123456789"]), r.choice(["token = ", "api_key: "])),
                 (lambda: str(r.randint(10**15, 10**20)), r.choice(["", "number ", "id "])),
+                # what is assigned to such a name in code and prose without being a secret
+                (lambda: r.choice(["required", "optional", "string", "changeme", "null", "undefined", "getenv", "os.environ", "config.password", "self.token", "********", "xxxxxxxx", "<password>", "your_password", "None", "process.env.TOKEN", "request.headers", "str", "generated", "hidden"]).ljust(6, "."), f"{r.choice(FOR)}{r.choice([' = ', ': ', '='])}{q}"),
+                (lambda: word() * 2 + word(), f"{r.choice(['key', 'token', 'secret', 'password', 'the key', 'auth'])}{r.choice([': ', ' = '])}{q}"),
+                (lambda: r.choice(["8080", "port", "user", "password", "pass", "xxxxx"]).ljust(3, "0"), f"{r.choice(['postgres', 'https'])}://{word()}:"),
             ])
             found = make()
-            out.append((found + "0" * (LEAST - len(found)), f"{prose} {name}", f" {word()}", r.choice([path, "tests/fixtures/a.json", "package-lock.json"]), 0))
+            filled = found if re.search(r"[:=]\s?[\"']?$", name) else found + "0" * (LEAST - len(found))
+            out.append((filled, f"{prose} {name}", f"{q if name.endswith(q) and q else ''} {word()}", r.choice([path, "tests/fixtures/a.json", "package-lock.json"]), 0))
     return out
 
 
@@ -162,8 +196,8 @@ class Forest:
 
 
 def train(findings: list[tuple[str, str, str, str, int]], most: int = 20_000) -> Forest:
-    """A forest from at most ``most`` labelled findings (candidate, before, after, path, label)."""
-    rows = findings[:most]
+    """A forest from labelled findings (candidate, before, after, path, label), of more than ``most`` a sample by hash."""
+    rows = sorted(findings, key=lambda r: hashlib.sha256(repr(r).encode()).digest())[:most] if len(findings) > most else findings
     return Forest(np.array([describe(*r[:4]) for r in rows]).reshape(-1, FEATURES), np.array([r[4] for r in rows], float))
 
 
@@ -171,7 +205,7 @@ OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_chars", pa.i
 
 
 def with_candidates(array: pa.Array) -> np.ndarray:
-    """Texts with a run of token bytes long enough that holds a digit or two cases."""
+    """Texts with a run of token bytes long enough that holds a digit or two cases, or with the beginning of another form."""
     data, bounds = string_bytes(array)
     inside = np.zeros(data.size + 2, bool)
     inside[1:-1] = IN_TOKEN[data]
@@ -184,18 +218,21 @@ def with_candidates(array: pa.Array) -> np.ndarray:
     small = np.concatenate([[0], np.cumsum((data >= 97) & (data < 123))])
     of = lambda c, a, b: c[b] - c[a]
     good = (of(digits, first, last) > 0) | ((of(large, first + 1, last) > 0) & (of(small, first, last) > 0))
-    out = np.zeros(len(array), bool)
+    out = pa.compute.match_substring_regex(array, LIKELY).fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
     for a, b in zip(first[good], last[good], strict=True):  # a run may cross the end of a text
         i, j = np.searchsorted(bounds, [a, b - 1], side="right") - 1
         out[i : j + 1] = True
     return out
 
 
-def candidates(text: str) -> Iterator[re.Match]:
-    for m in CANDIDATE.finditer(text):
-        w = m.group()
-        if any(c.isdigit() for c in w) or (any(c.isupper() for c in w[1:]) and any(c.islower() for c in w)):
-            yield m
+def candidates(text: str) -> Iterator[tuple[int, str]]:
+    """(place, finding) of every candidate."""
+    at = 0
+    while m := CANDIDATE.search(text, at):
+        form = m.lastgroup
+        w, at = m.group(form), m.end(form)
+        if form != "run" or any(c.isdigit() for c in w) or (any(c.isupper() for c in w[1:]) and any(c.islower() for c in w)):
+            yield m.start(form), w
 
 
 def scan(docs: DataFrame, forest: Forest | None = None, path: str = "source", threshold: float = 0.5) -> DataFrame:
@@ -210,9 +247,10 @@ def scan(docs: DataFrame, forest: Forest | None = None, path: str = "source", th
                 x = []
                 for i in np.flatnonzero(with_candidates(part.column(1))):
                     text, doc, where = part.column(1)[int(i)].as_py() or "", part.column(0)[int(i)].as_py(), part.column(2)[int(i)].as_py() or ""
-                    for m in candidates(text):
-                        x.append(describe(m.group(), text[max(0, m.start() - 60) : m.start()], text[m.end() : m.end() + 20], where))
-                        for k, v in (("doc_id", doc), ("start", m.start()), ("n_chars", len(m.group())), ("sha256", hashlib.sha256(m.group().encode()).hexdigest())):
+                    for start, found in candidates(text):
+                        end = start + len(found)
+                        x.append(describe(found, text[max(0, start - 60) : start], text[end : end + 20], where))
+                        for k, v in (("doc_id", doc), ("start", start), ("n_chars", len(found)), ("sha256", hashlib.sha256(found.encode()).hexdigest())):
                             rows[k].append(v)
                 found = own.predict(np.array(x).reshape(-1, FEATURES))
                 rows["score"], rows["is_secret"] = found.tolist(), (found > threshold).tolist()

@@ -3,14 +3,15 @@
 Five small transducers are composed into one: the lexicon maps words to classes
 (insult, threat, target, negation, report), the negation transducer marks abuse in the
 scope of a negation, the reported-speech transducer marks abuse after a verb of
-saying or inside quotation marks, and a clause acceptor remembers the strongest insult,
+saying in its clause, after such a verb and a colon, or inside quotation marks (both over ends of
+clauses, up to a closing mark or the end of the line), and a clause acceptor remembers the strongest insult,
 the strongest threat and whether a target was named. Its final states are the kinds
 of matched clauses. A text's score is the logistic of a weighted sum over
 clause kinds (of the log of one plus their number); the weights start from prior
 values of the grammar and are fitted to labelled rows by ridge regression.
 
-The lexicon starts from fixed lists and takes in beginnings of words that
-toxic texts of the labelled sample use in several different contexts and other texts hardly ever do.
+The lexicon starts from fixed lists and takes in all beginnings of words that
+toxic texts of the labelled sample use in several different contexts and other texts hardly ever do; the sample is bounded, and so is the lexicon.
 
 Null and empty texts score as texts without a matched clause. Null labels teach
 nothing; without labels the prior weights hold. Repeated rows give equal rows; null
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from granary.llm.tables import emit, fold, opened, share, slices, string_bytes
 from granary.llm.words import heads, texts_to_arrays
 
-OTHER, INSULT, LIKELY, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(8)
+OTHER, INSULT, LIKELY, THREAT, TARGET, NEGATION, REPORT, QUOTE, END, COLON, BREAK = range(11)
 #: Word lists of the lexicon.
 INSULTS = """idiot idiots stupid moron morons scum trash loser losers pathetic worthless disgusting clown clowns imbecile
 dumb dumbass fool fools jerk pig pigs vermin filth filthy garbage bastard bastards bitch bitches asshole assholes cretin retard
@@ -46,12 +47,12 @@ NEGATIONS = "not no never neither nor without cannot don't doesn't didn't isn't
 REPORTS = """said says say claimed claims wrote writes quoted quotes called reported alleged told according
 dit dits sagte sagt dijo dice disse""".split()
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?;:\n|]|[\"“”«»„]")
-LAST = frozenset(".!?;:\n|")
-QUOTES = frozenset("\"“”«»„")
+MARKS = {c: END for c in ".!?;|"} | {":": COLON, "\n": BREAK} | {c: QUOTE for c in "\"“”«»„"}
+LAST = frozenset([END, COLON, BREAK])
 #: Symbols between the transducers: abuse is marked as plain, reported or negated.
-KINDS = {INSULT: (INSULT, 10, 11), LIKELY: (LIKELY, 10, 11), THREAT: (THREAT, 20, 21)}  # plain, reported, negated
+KINDS = {INSULT: (INSULT, 40, 41), LIKELY: (LIKELY, 40, 41), THREAT: (THREAT, 50, 51)}  # plain, reported, negated
 #: What the clause acceptor keeps of each: its place in the state, and how strong it is.
-GRADES = {11: (0, 1), 10: (0, 2), LIKELY: (0, 3), INSULT: (0, 4), 21: (1, 1), 20: (1, 2), THREAT: (1, 3)}
+GRADES = {41: (0, 1), 40: (0, 2), LIKELY: (0, 3), INSULT: (0, 4), 51: (1, 1), 50: (1, 2), THREAT: (1, 3)}
 
 
 class Transducer:
@@ -91,6 +92,8 @@ def negation(scope: int = 3) -> Transducer:
     """Abuse within ``scope`` words after a negation is marked as negated."""
 
     def step(left, symbol):
+        if symbol in LAST:
+            return 0, symbol
         if symbol == NEGATION:
             return scope, symbol
         if left and symbol in KINDS:
@@ -101,25 +104,37 @@ def negation(scope: int = 3) -> Transducer:
 
 
 def reported() -> Transducer:
-    """Abuse after a verb of saying, or inside quotation marks, is marked as reported."""
+    """Abuse after a verb of saying, or inside quotation marks, is marked as reported.
+
+    A verb of saying holds to the end of its clause; with a colon it opens a report that, like a quotation, goes on
+    over the ends of clauses until a closing mark or the end of the line.
+    """
 
     def step(state, symbol):
-        said, quoted = state
+        said, opened, quoted = state
         if symbol == REPORT:
-            return (True, quoted), symbol
-        if symbol == QUOTE:
-            return (said, not quoted), symbol
-        if (said or quoted) and symbol in KINDS:
+            return (True, opened, quoted), symbol
+        if symbol == COLON:
+            return (False, opened or said, quoted), symbol
+        if symbol == QUOTE:  # a closing mark ends the report too
+            return (said and not quoted, opened and not quoted, not quoted), symbol
+        if symbol == BREAK:
+            return (False, False, False), symbol
+        if symbol == END:
+            return (False, opened, quoted), symbol
+        if (said or opened or quoted) and symbol in KINDS:
             return state, KINDS[symbol][1]
         return state, symbol
 
-    return Transducer((False, False), step)
+    return Transducer((False, False, False), step)
 
 
 def clause() -> Transducer:
     """Keeps (insult, threat, target): 0 none, 1 negated, 2 reported, then plain (an insult 3 if learned, 4 if listed)."""
 
     def step(state, symbol):
+        if symbol in LAST:
+            return (0, 0, 0), symbol
         if symbol == TARGET:
             return (state[0], state[1], 1), symbol
         if symbol in GRADES:
@@ -136,7 +151,7 @@ class Grammar:
     def __init__(self, learned: list[str] = ()):
         self.lexicon = {w: k for k, ws in ((TARGET, TARGETS), (REPORT, REPORTS), (NEGATION, NEGATIONS), (THREAT, THREATS), (INSULT, INSULTS)) for w in ws}
         self.fixed, self.stems = dict(self.lexicon), frozenset(learned)
-        self.arcs, states = negation().then(reported()).then(clause()).table(8)
+        self.arcs, states = negation().then(reported()).then(clause()).table(11)
         kinds = sorted({s[1] for s in states if s[1][0] or s[1][1]})
         self.kinds = kinds
         self.final = [kinds.index(s[1]) if s[1][0] or s[1][1] else -1 for s in states]
@@ -179,12 +194,10 @@ class Grammar:
         found: Counter = Counter()
         state, arcs, class_of = 0, self.arcs, self.class_of
         for token in TOKEN.findall(text.lower().replace("’", "'")):
-            if token in LAST:
-                if self.final[state] >= 0:
-                    found[self.final[state]] += 1
-                state = 0
-            else:
-                state = arcs[state][QUOTE if token in QUOTES else class_of(token)]
+            symbol = MARKS[token] if token in MARKS else class_of(token)
+            if symbol in LAST and self.final[state] >= 0:
+                found[self.final[state]] += 1
+            state = arcs[state][symbol]
         if self.final[state] >= 0:
             found[self.final[state]] += 1
         return found
@@ -223,14 +236,12 @@ class Grammar:
         self.weights, self.bias = w[:-1], float(w[-1])
 
 
-def learned_stems(sample: DataFrame, least_contexts: int = 6, rarer: int = 4, most: int = 500, shortest: int = 3, longest: int = 10) -> list[str]:
+def learned_stems(sample: DataFrame, least_contexts: int = 6, rarer: int = 4, shortest: int = 3, longest: int = 10) -> list[str]:
     """Beginnings of words that mark toxic texts of the sample.
 
     A stem stands in ``least_contexts`` different contexts (pairs of neighbouring
     words, so that copies of a text count once) of toxic texts, and in fewer of the
-    other texts by a factor ``rarer``. Stems that begin with another one are left out.
-    The lexicon takes in at most ``most`` stems, so that it stays small enough to send to
-    every task: of the ``most`` * 10 that stand in most contexts, the shortest first.
+    other texts by a factor ``rarer``. Stems that begin with another one add nothing and are left out.
     """
     schema = pa.schema([("stem", pa.string()), ("context", pa.int64()), ("others", pa.int64())])
 
@@ -251,12 +262,12 @@ def learned_stems(sample: DataFrame, least_contexts: int = 6, rarer: int = 4, mo
 
     seen = sample.select("text", "toxic").mapInArrow(run, "stem string, context long, others long").groupBy("stem", "context").agg(F.sum("others").alias("others"))
     n = seen.groupBy("stem").agg(F.count_if(F.col("context") > 0).alias("contexts"), F.sum("others").alias("others"))
-    found = n.filter((F.col("contexts") >= least_contexts) & (F.col("others") * rarer <= F.col("contexts"))).orderBy(F.desc("contexts"), "stem").limit(most * 10).collect()
-    kept: list[str] = []
-    for stem in sorted((r["stem"] for r in found), key=len):
-        if not any(stem.startswith(k) for k in kept):
-            kept.append(stem)
-    return kept[:most]
+    found = n.filter((F.col("contexts") >= least_contexts) & (F.col("others") * rarer <= F.col("contexts"))).select("stem").collect()
+    kept: set[str] = set()
+    for stem in sorted((r["stem"] for r in found), key=lambda x: (len(x), x)):
+        if not any(stem[:k] in kept for k in range(shortest, len(stem))):
+            kept.add(stem)
+    return sorted(kept)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int) -> DataFrame:

@@ -22,10 +22,10 @@ def cut(text):
 
 
 def kept_lines(rows):
-    """doc_id and text after lines of three words or more on six sites or more went from all but the first."""
+    """doc_id and text after lines with a word on six sites or more went from all but the first."""
     sites, first = defaultdict(set), {}
     lines = [(d, s, [(x, re.sub(r"^[ \t-\r]+|[ \t-\r]+$", "", x)) for x in (t or "").split("\n")]) for d, t, s in rows]
-    long = lambda key: len(re.findall(r"[^ \t-\r]+", key)) >= 3
+    long = lambda key: key != ""
     for d, s, own in lines:
         for _, key in own:
             if long(key):
@@ -54,7 +54,7 @@ def first_of_class(rows):
 
 
 def clean(rows, items):
-    runs = lambda t: {tuple(w[i : i + 5]) for w in [cut(t)] for i in range(len(w) - 4)}
+    runs = lambda t, k=5: {tuple(w[i : i + k]) for w in [cut(t)] for i in range(len(w) - k + 1)}
     wanted = [runs(t) for t in items]
     return sorted(d for d, t, _ in rows if not any(w and len(w & own) >= 0.8 * len(w) - 1e-9 for own in [runs(t)] for w in wanted))
 
