@@ -22,13 +22,15 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def documents(df: DataFrame) -> DataFrame:
-    """The columns of documents, n_chars as of the text now."""
+    """The columns of documents, n_chars as of the text now (null for a null text); extra columns do not go on."""
     return df.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected rows go by id and text, so of several rows under one id each has its own verdict; rows with a null id go or stay like others."""
     scored = discriminant.quality_scores(docs, read(spark, sf_dir, "labels"))
-    return documents(docs.join(scored.filter("predicted = 0").select("doc_id").distinct(), "doc_id", "left_anti"))
+    gone = scored.filter("predicted = 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    return documents(docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash")), "left_anti"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,14 +40,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row of least id of each class stays; rows of one id are one document; rows with a null id stay."""
     return documents(order_minhash.one_of_each(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that contain an item go by id and text; rows with a null id, null texts and empty ones stay."""
     return documents(containment.without_benchmark(docs, read(spark, sf_dir, "benchmark")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each row, null texts as empty ones; the text and the other columns do not go on."""
     return byte_pair.bpe_round_trip(docs, vocabulary(), digests=True)
 
 
