@@ -14,6 +14,8 @@ def with_steps(rows: DataFrame, text: str, column: str) -> DataFrame:
     """Rows with ``column``: the lines from one step mark to the next, joined, if over 30 characters.
 
     The lines are a column of their own, so each step is one slice of them and nothing is shuffled.
+    Explode the result by ``posexplode_outer`` and drop null places after it: an inner generator makes Spark infer a filter
+    on the array's size and push it below these columns, where the lines are made again for each step.
     """
     lines = F.filter(F.transform(F.split(text, "\n"), stripped), lambda x: x != "")
     rows = rows.withColumn("__lines", lines)
@@ -26,8 +28,8 @@ def with_steps(rows: DataFrame, text: str, column: str) -> DataFrame:
 
 def steps(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, step (from 1), content of every step."""
-    found = with_steps(rows, text, "__steps").select(key, F.posexplode("__steps").alias("pos", "content"))
-    return found.select(key, (F.col("pos") + 1).alias("step"), "content")
+    found = with_steps(rows, text, "__steps").select(key, F.posexplode_outer("__steps").alias("pos", "content"))
+    return found.filter("pos is not null").select(key, (F.col("pos") + 1).alias("step"), "content")
 
 
 def packed(paragraphs: Column, most_tokens: int = 800) -> Column:
@@ -126,7 +128,7 @@ def typed_chunks(sections: DataFrame, c: Chunking = Chunking()) -> DataFrame:
     rows = with_steps(sections.filter(text.isNotNull()), "content", "__steps").withColumn("__pieces", pieces).drop("__steps")
     rows = rows.withColumn("__texts", F.transform("__pieces", lambda x: normalize_text(x["text"])))
     joined = F.when(kind == "parameter", F.col("__texts")).when(kind == "procedure", overlapped(F.col("__texts"), c.procedure_overlap)).otherwise(overlapped(F.col("__texts"), c.overlap_tokens))
-    rows = rows.withColumn("__final", joined).select("*", F.posexplode("__pieces").alias("__pos", "__piece"))
+    rows = rows.withColumn("__final", joined).select("*", F.posexplode_outer("__pieces").alias("__pos", "__piece")).filter("__pos is not null")
     parent = F.concat("section_id", F.lit("_chunk_000"))
     child = F.col("__piece.child")
     return rows.withColumns({
