@@ -1,6 +1,7 @@
 """Every query with SQL gives that SQL's rows on the smallest tables."""
 
 import granary.plans.documents  # noqa: F401
+import granary.plans.stored  # noqa: F401
 import pytest
 from granary.plans.queries import ORACLES, QUERIES
 
