@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,3 +69,33 @@ def result_rows(results: DataFrame, widest: int = 50) -> DataFrame:
     """Results as they are listed: score, shortened title, module, type and URL."""
     title = F.when(F.length("title") > widest, F.concat(F.left("title", F.lit(widest)), F.lit("..."))).otherwise(F.col("title"))
     return results.select("query_id", "rank", F.round("score", 3).alias("score"), title.alias("title"), "module", "content_type", F.col("source_url").alias("url"))
+
+
+def admitted(calls: DataFrame, key: str, ts: str, limit: int, seconds: float, tie: str) -> DataFrame:
+    """``calls`` with start: when each call may begin, so that a key begins at most ``limit`` in any ``seconds``, in order of arrival.
+
+    A call begins when it comes, but not before the one ahead of it, nor sooner than ``seconds`` after the one ``limit`` places ahead of it
+    began. So a start depends on earlier starts, which no window frame holds: the sorted rows of a key stream through
+    one task that remembers its last ``limit`` starts. Null keys are a key; rows without a time come last and start never (null).
+    """
+    micros = int(seconds * 1_000_000)
+    columns = [c for c in calls.columns if c != "start"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = (None,), deque(maxlen=limit)
+        for batch in batches:
+            starts = []
+            for k, t in zip(batch.column("__key").to_pylist(), batch.column("__at").to_pylist(), strict=True):
+                if (k,) != now:
+                    now, last = (k,), deque(maxlen=limit)
+                if t is not None:
+                    t = max([t, *([last[-1]] if last else []), *([last[0] + micros] if len(last) == limit else [])])
+                    last.append(t)
+                starts.append(t)
+            kept = [batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(starts, pa.int64())], names=[*columns, "start"])
+
+    rows = calls.select(*columns, F.col(key).alias("__key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("__at"))
+    rows = rows.repartition("__key").sortWithinPartitions(F.col("__key"), F.asc_nulls_last("__at"), F.col(tie))
+    kinds = ", ".join(f"`{c}` {dict(calls.dtypes)[c]}" for c in columns)
+    return rows.mapInArrow(run, f"{kinds}, start long").withColumn("start", F.timestamp_micros("start"))

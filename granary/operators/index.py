@@ -27,9 +27,10 @@ def counts_by_url(rows: DataFrame, urls: DataFrame, url: str = "source_url") ->
 
 
 def first_by_hash(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key, by a minimum that is combined before the shuffle."""
-    first = rows.groupBy(key).agg(F.min(order).alias(order))
-    return rows.join(first, [key, order], "left_semi")
+    """The first row of each key, by one minimum that is combined before the shuffle; take only the columns you need."""
+    others = [c for c in rows.columns if c not in (key, order)]
+    least = F.min(F.struct(order, *others)) if not others else F.min_by(F.struct(order, *others), F.col(order))
+    return rows.groupBy(key).agg(least.alias("__row")).select(key, "__row.*").select(*rows.columns)
 
 
 def without_orphans(files: DataFrame, valid: DataFrame, key: str = "image_id") -> tuple[DataFrame, DataFrame]:
@@ -85,9 +86,16 @@ def storage(images: DataFrame, group: str, size: str) -> DataFrame:
     return images.groupBy(group).agg(F.count("*").alias("n_images"), F.sum(size).alias("n_bytes"), F.round(F.sum(size) / (1024 * 1024), 2).alias("n_mb"))
 
 
-def covering_sections(items: DataFrame, sections: DataFrame, doc: str, page: str) -> DataFrame:
-    """All (item, section) pairs of a document where the section's pages hold the item's page."""
-    return items.filter(F.coalesce(F.col(page), F.lit(0)) > 0).join(sections, doc).filter(F.col(page).between(F.col("page_start"), F.col("page_end")))
+def covering_sections(items: DataFrame, sections: DataFrame, doc: str, page: str, width: int = 16) -> DataFrame:
+    """All (item, section) pairs of a document where the section's pages hold the item's page.
+
+    Pages are cut into bins of ``width``; a section has a row for each bin that it touches, an item lies in one, so a pair meets
+    once and only items and sections of the same few pages of a document meet. Rows without a page or with an empty range find nothing.
+    """
+    cut = lambda c: F.floor(F.col(c) / width)
+    binned = sections.filter(F.col("page_start") <= F.col("page_end")).withColumn("__bin", F.explode(F.sequence(cut("page_start"), cut("page_end"))))
+    placed = items.filter(F.coalesce(F.col(page), F.lit(0)) > 0).withColumn("__bin", cut(page))
+    return placed.join(binned, [doc, "__bin"]).filter(F.col(page).between(F.col("page_start"), F.col("page_end"))).drop("__bin")
 
 
 def first_section(items: DataFrame, sections: DataFrame, doc: str, page: str, item: list[str]) -> DataFrame:

@@ -12,44 +12,12 @@ from pyspark.sql import functions as F
 from granary.functions.rules import K_VALUES, k_dense, k_lexical, query_type
 from granary.session import Retrieval
 
-#: Italian function words, and groups of words that count as one.
-STOP_WORDS = "a ad al alla alle ai agli allo che chi ci con da dal dalla dei del della delle di e ed gli i il in la le lo ma nel nella non o per piu quale si sono su sul sulla tra un una uno".split()
-SYNONYMS = (
-    "impostazione impostaz settaggio configurazione config",
-    "parametro parametr opzione campo",
-    "procedura processo guida istruzione",
-    "errore error codice avviso warning",
-    "fattura fatturazione documento",
-    "cliente anagrafica soggetto",
-    "articolo prodotto merce",
-    "iva imposta aliquota",
-    "contabilita coge",
-    "magazzino giacenza stock",
-)
-ACCENTS = ("àáâäèéêëìíîïòóôöùúûüçñ", "aaaaeeeeiiiioooouuuucn")
-
 
 def plain_tokens(text: Column) -> Column:
     """Runs of ASCII letters, in small letters."""
     return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "")
 
 
-def italian_tokens(text: Column) -> Column:
-    """Words without accents and function words, lightly stemmed, synonyms replaced by their group's first word."""
-    words = F.filter(F.split(F.translate(F.lower(text), *ACCENTS), r"(?U)[^\p{L}\p{N}]+"), lambda w: w != "")
-    kept = F.filter(words, lambda w: ~w.isin(STOP_WORDS))
-    stem = lambda w: F.regexp_replace(w, r"(?<=.{4})(?:ie|he|hi|[aeio])$", "")
-    heads = {w: group.split()[0] for group in SYNONYMS for w in group.split()}
-
-    def meaning(w: Column) -> Column:
-        out = stem(w)
-        for head in sorted(set(heads.values())):
-            out = F.when(w.isin([x for x, h in heads.items() if h == head]), stem(F.lit(head))).otherwise(out)
-        return out
-
-    return F.transform(kept, meaning)
-
-
 def top(rows: DataFrame, k: int | Column, by: str = "score", group: str = "query_id", tie: str = "doc_id", rank: str = "rank") -> DataFrame:
     """The k best rows of each group; Spark limits each group before the shuffle."""
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(group).orderBy(F.desc(by), tie))).filter(F.col(rank) <= k)
@@ -197,7 +165,12 @@ def search(queries: DataFrame, chunks: DataFrame, query_vectors: DataFrame, vect
     dense = dense_topk(query_vectors, vectors, widest).join(of_kind, "query_id").filter(F.col("rank") <= F.col("kd"))
     lexical = top(bm25(queries, chunks, tokens, w.k1, w.b).withColumn("score", F.round("score", 6)), max(x for _, x in K_VALUES.values()))
     lexical = lexical.join(of_kind, "query_id").filter(F.col("rank") <= F.col("kx"))
-    rows = fused(dense.withColumnRenamed("vec_id", "doc_id"), lexical, w).join(asked, "query_id")
+    return merged(asked, chunks, dense.withColumnRenamed("vec_id", "doc_id"), lexical, model, w, top_k, head)
+
+
+def merged(asked: DataFrame, chunks: DataFrame, dense: DataFrame, lexical: DataFrame, model: Callable[[Column, Column], Column] = overlap_score, w: Retrieval = Retrieval(), top_k: int = 10, head: int = 200) -> DataFrame:
+    """query_id, doc_id, kind, origin, score and rank of two ranked lists: fused, re-ranked, diversified and cut."""
+    rows = fused(dense, lexical, w).join(asked, "query_id")
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.substring("text", 1, head))
     rows = rows.join(chunks.select("doc_id", "section_path", text.alias("text")), "doc_id")
     ranked = diversified(reranked(rows, model, weight=w.model_weight), w.k_final, w.per_section, top_k)

@@ -507,6 +507,15 @@ def sliding_rate(spark, sf_dir):
     return analytics.sliding_counts(read(spark, sf_dir, "events"), "user_id", "ts", 3600, 2).select("event_id", "in_window", "within")
 
 
+@query("""WITH l AS (SELECT user_id, list({'t': epoch_us(ts), 'i': event_id} ORDER BY ts, event_id) AS c FROM events GROUP BY user_id),
+    s AS (SELECT user_id, c, list_reduce(list_transform(c, lambda x: [x.t]), lambda acc, x: list_append(acc, greatest(x[1], acc[-1], CASE WHEN len(acc) >= 3 THEN acc[len(acc) - 2] + 7200000000 ELSE 0 END))) AS s FROM l)
+    SELECT unnest(list_transform(c, lambda x: x.i)) AS event_id, unnest(s) AS start FROM s""")
+def admitted_calls(spark, sf_dir):
+    """At most three events of a user begin in two hours; the others wait."""
+    found = analytics.admitted(read(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 3, 7200, "event_id")
+    return found.select("event_id", F.unix_micros("start").alias("start"))
+
+
 @query("SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def tumbling_events(spark, sf_dir):
     return streams.tumbling(read(spark, sf_dir, "events")).withColumn("window_start", F.unix_timestamp("window_start"))

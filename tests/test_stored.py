@@ -86,7 +86,7 @@ def test_bounds_leave_more_postings_unread_as_the_table_grows(spark, tmp_path):
         rows = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("u"), F.col("id")).alias("source_url"), F.concat(F.lit("comune "), F.when(F.col("id") % 250 == 0, F.lit("raro comune ")).otherwise(F.lit("")), F.repeat(F.lit("testo "), (F.col("id") % 40).cast("int"))).alias("content"))
         index = LexicalIndex(spark, str(tmp_path / str(n)), ("content",), shelves=2)
         index.add(rows)
-        got, counts = index.found(asked, 2, {"content": 1.0}, False, None, 0.9, 0.55, 4, 6, lexical.expanded)
+        got, counts = index.found(asked, 2, {"content": 1.0}, code_boost=None, first=4)
         every = retrieve.top(retrieve.bm25(asked, rows.select("doc_id", F.col("content").alias("text"))).withColumn("score", F.round("score", 6)), 2)
         assert sorted(map(tuple, got.select("query_id", "doc_id", "rank").collect())) == sorted(map(tuple, every.select("query_id", "doc_id", "rank").collect()))
         total = counts.agg(F.sum("n_postings"), F.sum("n_read")).first()
