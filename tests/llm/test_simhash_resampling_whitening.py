@@ -184,7 +184,9 @@ def test_whitening_of_odd_vectors(spark):
     good = rng.standard_normal((40, 3)).astype(np.float32).tolist()
     bad = [None, [], [1.0, None, 2.0], [float("nan"), 0.0, 0.0], [float("inf"), 0.0, 0.0], [1.0, 2.0], [3e38, 0.0, 0.0]]
     got = as_told(spark, good + bad)
-    assert {g[0] for g in got} == set(range(40)) and [(g[1], *g[3:]) for g in got] == [(g[1], *g[3:]) for g in as_told(spark, good)]
+    alone = as_told(spark, good)
+    assert {g[0] for g in got} == set(range(40)) and [g[:4] for g in got] == [g[:4] for g in alone]
+    assert np.allclose([g[4:6] for g in got], [g[4:6] for g in alone], atol=1e-9)  # sums over other partitions differ in their last bits
     assert as_told(spark, []) == as_told(spark, bad[:5]) == as_told(spark, [[1.0, 2.0]] * 5) == []
     flat = as_told(spark, [[*v, 1.0] for v in good])  # a constant dimension has no component
     assert {g[1] for g in flat} == {1, 2, 3}
