@@ -72,7 +72,11 @@ def combined_content(rows: DataFrame, most: int = 5) -> DataFrame:
 
 
 def related_topics(rows: DataFrame, most: int = 5) -> DataFrame:
-    return rows.groupBy("query_id").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("breadcrumbs")))), 1, most).alias("topics"))
+    """query_id and the first ``most`` different breadcrumbs of its rows; no more are ever held together."""
+    each = rows.select("query_id", F.explode_outer("breadcrumbs").alias("topic")).distinct()
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.asc_nulls_last("topic")))
+    first = each.withColumn("place", place).filter(F.col("place") <= most)
+    return first.groupBy("query_id").agg(F.sort_array(F.collect_list("topic")).alias("topics"))
 
 
 def prompt(kind: Column, query: Column, context: Column) -> Column:

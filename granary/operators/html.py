@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from granary.functions.rules import SKIPPED_TITLES
 from granary.functions.text import preprocess_html
 from granary.schemas import FIGURE
+from granary.session import Ingest
 
 #: What is removed before sections are read, and image sources that are decoration.
 REMOVED_TAGS = frozenset("nav aside footer header iframe object embed video audio canvas svg noscript form script style".split())
@@ -100,9 +101,15 @@ def table_markdown(table: Node) -> str:
     return "\n".join([line(rows[0]), line(["---"] * len(rows[0])), *map(line, rows[1:])])
 
 
+def declared_small(img: Node, i: Ingest = Ingest()) -> bool:
+    """Both sides declared as whole numbers above nought, and one of them too small."""
+    w, h = (int(v) if re.fullmatch("[0-9]{1,9}", v) else 0 for v in (img.attrs.get("width") or "", img.attrs.get("height") or ""))
+    return w > 0 and h > 0 and min(w, h) < i.image_least_side
+
+
 def figure(img: Node, url: str) -> dict | None:
     src = img.attrs.get("src", "")
-    if not src or any(d in src.lower() for d in DECORATION):
+    if not src or any(d in src.lower() for d in DECORATION) or declared_small(img):
         return None
     node, caption = img.parent, ""
     while node is not None and node.tag != "figure":

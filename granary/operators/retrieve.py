@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.rules import K_VALUES, k_dense, k_lexical, query_type
 from granary.session import Retrieval
+from granary.sources.store import saved
 
 
 def plain_tokens(text: Column) -> Column:
@@ -26,14 +27,16 @@ def top(rows: DataFrame, k: int | Column, by: str = "score", group: str = "query
 def bm25(queries: DataFrame, docs: DataFrame, tokens: Callable[[Column], Column] = plain_tokens, k1: float = 0.9, b: float = 0.55) -> DataFrame:
     """query_id, doc_id and score of queries (query_id, query) on documents (doc_id, text).
 
-    Postings are made for the queries' terms alone; term, document and query
-    statistics are partial aggregates before they are shuffled.
+    Texts are read and cut once: each gives a row for every word and one of the empty word for itself, only asked words and these rows
+    are counted, and what is left is kept in the shared folder for the statistics and the scores.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     cut = docs.select("doc_id", tokens(F.col("text")).alias("words"))
-    size = cut.select("doc_id", F.size("words").alias("dl"))
-    total = size.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    tf = cut.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(q.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    each = cut.select("doc_id", F.size("words").alias("dl"), F.explode(F.array_append(F.coalesce("words", F.array().cast("array<string>")), F.lit(""))).alias("term"))
+    asked = q.select("term").union(q.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    held = saved(each.join(asked, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")))
+    total = held.filter("term = ''").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    tf = held.filter("term != ''")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))

@@ -131,3 +131,16 @@ def test_document_title(spark, given, title):
 def test_long_texts_without_end_marks_are_cut_in_one_pass(spark):
     rows = spark.createDataFrame([("parola " * 60_000 + "fine. Altra frase finale! coda",)], "t string")
     assert [len(s) for s in rows.select(split_sentences(F.col("t"))).first()[0]] == [7 * 60_000 + 5, 19]
+
+
+def test_declared_small_images_are_no_figures():
+    from granary.operators.html import page_sections
+
+    page = "<h1>Titolo</h1><p>" + "testo della pagina " * 20 + '</p><img src="a.png" width="40" height="300"><img src="b.png" width="400" height="300"><img src="c.png" width="40"><img src="d.png" width="40px" height="20px">'
+    figures = [f["src"].rsplit("/", 1)[-1] for s in page_sections(page, "http://x/") for f in s["figures"]]
+    assert figures == ["b.png", "c.png", "d.png"]
+
+
+def test_topics_are_the_first_different_ones(spark):
+    rows = spark.createDataFrame([(1, ["b", "a"]), (1, ["c", "a", "f"]), (1, ["e", "d"]), (2, []), (3, None)], "query_id long, breadcrumbs array<string>")
+    assert {r["query_id"]: r["topics"] for r in answer.related_topics(rows).collect()} == {1: ["a", "b", "c", "d", "e"], 2: [], 3: []}
