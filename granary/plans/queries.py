@@ -378,10 +378,10 @@ def delete_by_url_counts(spark, sf_dir):
     return index.counts_by_url(orders, read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source_url")))
 
 
-@query("SELECT c_custkey AS image_id, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS image_id, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 9 = 0)")
 def orphan_anti(spark, sf_dir):
     files = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("image_id"), "c_name")
-    return index.without_orphans(files, read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("image_id")))[1]
+    return index.without_orphans(files, read(spark, sf_dir, "orders").filter("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("image_id")))[1]
 
 
 SECTIONS = "s AS (SELECT l_orderkey AS doc, l_linenumber AS section_pos, l_linenumber AS page_start, l_linenumber + CAST(l_quantity AS INTEGER) % 4 AS page_end FROM lineitem), i AS (SELECT l_orderkey AS doc, l_linenumber AS item, CAST(l_quantity AS INTEGER) % 8 AS page FROM lineitem)"
@@ -550,9 +550,9 @@ def set_intersect(spark, sf_dir):
     return read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).intersect(read(spark, sf_dir, "supplier").select("s_nationkey"))
 
 
-@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
+@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_nationkey % 2 = 0")
 def set_except(spark, sf_dir):
-    return read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")).subtract(read(spark, sf_dir, "supplier").select("s_nationkey"))
+    return read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")).subtract(read(spark, sf_dir, "supplier").filter("s_nationkey % 2 = 0").select("s_nationkey"))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
@@ -709,9 +709,9 @@ def lookup_chunks(spark, sf_dir):
     return index.lookup(stored(spark, sf_dir), ids).select("chunk_id", "source_url", "p_name")
 
 
-@query(f"WITH {STORED} SELECT chunk_id, source_url FROM c WHERE source_url NOT IN (SELECT 'http://x/' || p_brand FROM part WHERE p_size > 45)")
+@query(f"WITH {STORED} SELECT chunk_id, source_url FROM c WHERE source_url NOT IN (SELECT 'http://x/' || p_brand FROM part WHERE p_size > 45 AND p_brand LIKE '%3')")
 def delete_by_url(spark, sf_dir):
-    urls = read(spark, sf_dir, "part").filter("p_size > 45").select(lit("http://x/", "p_brand").alias("source_url"))
+    urls = read(spark, sf_dir, "part").filter("p_size > 45 and p_brand like '%3'").select(lit("http://x/", "p_brand").alias("source_url"))
     return index.delete_by_url(stored(spark, sf_dir), urls).select("chunk_id", "source_url")
 
 
@@ -720,9 +720,12 @@ def table_stats(spark, sf_dir):
     return analytics.table_stats(read(spark, sf_dir, "embeddings"), "embedding").withColumn("vector_size", F.col("vector_size").cast("long"))
 
 
-@query("""WITH g AS (SELECT source, round(avg((doc_id % 100) / 100.0), 6) AS mean_score, count(*) AS n_chunks FROM documents GROUP BY source)
-    SELECT source, 0::BIGINT AS n_figures, mean_score, n_chunks, CASE WHEN mean_score < 0.6 THEN 'score' ELSE 'ok' END AS diagnosis FROM g""")
+@query("""WITH d AS (SELECT source, doc_id, doc_id % 3 + CASE WHEN source LIKE '%1%' THEN doc_id % 40 ELSE 0 END AS figures FROM documents),
+    g AS (SELECT source, sum(figures)::BIGINT AS n_figures, avg((doc_id % 100) / 100.0) AS score, count(*) AS n_chunks FROM d GROUP BY source)
+    SELECT source, n_figures, round(score, 6) AS mean_score, n_chunks, CASE WHEN n_figures > 50 THEN 'figures' WHEN score < 0.6 THEN 'score' ELSE 'ok' END AS diagnosis FROM g""")
 def url_diagnosis(spark, sf_dir):
+    figures = F.col("doc_id") % 3 + F.when(F.col("source").like("%1%"), F.col("doc_id") % 40).otherwise(0)
     rows = read(spark, sf_dir, "documents").withColumn("score", (F.col("doc_id") % 100) / 100.0)
+    rows = rows.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.repeat(F.lit("\n[Figura: x]"), figures.cast("int"))))
     found = analytics.diagnosis(rows, "source", "text", "score")
     return found.withColumns({"mean_score": F.round("mean_score", 6), "n_figures": F.coalesce("n_figures", F.lit(0)).cast("long")})
