@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.operators.retrieve import metadata_filter, top
-from granary.sources.store import Versions
+from granary.sources.store import Versions, saved
 
 ROWS = "vec_id long, cell int, codes binary, embedding array<float>"
 
@@ -169,7 +169,7 @@ class VectorIndex:
         return live.drop("segment")
 
     def probed(self, queries: DataFrame, model: Model, probes: int) -> DataFrame:
-        """query_id, q (the unit vector) and cell of the ``probes`` nearest cells of each question."""
+        """query_id, q (the unit vector), cell and near (from 0) of the ``probes`` nearest cells of each question."""
         sent = self.spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,16 +179,19 @@ class VectorIndex:
                     q = unit(batch["embedding"])
                     away = (cells**2).sum(axis=1) - 2 * q @ cells.T
                     best = np.argsort(away, axis=1, kind="stable")[:, :probes]
-                    yield pd.DataFrame({"query_id": np.repeat(batch["query_id"].to_numpy(), best.shape[1]), "q": [v for v in q for _ in range(best.shape[1])], "cell": best.ravel().astype(np.int32)})
+                    yield pd.DataFrame({"query_id": np.repeat(batch["query_id"].to_numpy(), best.shape[1]), "q": [v for v in q for _ in range(best.shape[1])], "cell": best.ravel().astype(np.int32), "near": np.tile(np.arange(best.shape[1], dtype=np.int32), len(q))})
 
         asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<float>").alias("embedding")).filter(f"size(embedding) = {model.cells.shape[1]}")
-        return asked.mapInPandas(run, "query_id long, q array<double>, cell int")
+        return asked.mapInPandas(run, "query_id long, q array<double>, cell int, near int")
 
     def search(self, queries: DataFrame, k: int, probes: int, rescore: int = 100, least: float = 0.0, where: Column | dict | None = None, most_rows: int = 50_000, most_asked: int = 1024) -> DataFrame:
-        """query_id, vec_id, score and rank: the ``k`` best by cosine among the best ``rescore`` codes of ``probes`` cells."""
+        """query_id, vec_id, score and rank: the ``k`` best by cosine among the best ``rescore`` codes of ``probes`` cells.
+
+        The nearest cells, of about twice ``rescore`` rows, are scored first; of the others only what reaches the last of the best ``rescore`` there is returned.
+        """
         _, facts = self.versions.current()
         model = self.model(facts["model"])
-        asked = self.probed(queries, model, probes)
+        asked = saved(self.probed(queries, model, probes))
         n_asked = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}  # a row for each cell
         live = self.rows(sorted(n_asked))
         if where is not None:
@@ -198,7 +201,7 @@ class VectorIndex:
         sizes = F.broadcast(self.spark.createDataFrame(plan, "cell int, parts int, blocks int"))
         part, block = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = asked.join(sizes, "cell").select("query_id", "q", "cell", block.alias("block"), each("parts").alias("part"))
+        begun = max(1, ceil(2 * rescore * len(model.cells) / max(sum(n_rows.values()), 1)))
         right = live.select("vec_id", "cell", "codes").join(sizes, "cell").select("vec_id", "cell", "codes", part.alias("part"), each("blocks").alias("block"))
         sent = self.spark.sparkContext.broadcast(model)
 
@@ -212,12 +215,22 @@ class VectorIndex:
             for a in range(0, len(q), 64):  # 64 x most_rows scores at once
                 score = sent.value.scores(q[a : a + 64], cell, codes)
                 best = np.argsort(-score, axis=1, kind="stable")[:, :most]
-                out.append(pd.DataFrame({"query_id": np.repeat(asked["query_id"].to_numpy()[a : a + 64], most), "vec_id": ids[best].ravel(), "cell": cell, "about": np.take_along_axis(score, best, 1).ravel()}))
+                about, own = np.take_along_axis(score, best, 1), asked["query_id"].to_numpy()[a : a + 64]
+                keep = about >= asked["least"].to_numpy()[a : a + 64, None]
+                out.append(pd.DataFrame({"query_id": np.repeat(own, keep.sum(axis=1)), "vec_id": ids[best][keep], "cell": cell, "about": about[keep]}))
             return pd.concat(out)
 
         keys = ["cell", "part", "block"]
-        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, cell int, about double")
-        few = top(found, rescore, "about", tie="vec_id", rank="place").select("query_id", "vec_id", "cell")
+
+        def found(some: DataFrame) -> DataFrame:
+            left = some.join(sizes, "cell").select("query_id", "q", "cell", "least", block.alias("block"), each("parts").alias("part"))
+            return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, cell int, about double")
+
+        best = lambda rows: top(rows, rescore, "about", tie="vec_id", rank="place")
+        near = saved(best(found(asked.filter(F.col("near") < begun).withColumn("least", F.lit(-2.0)))))
+        last = near.filter(F.col("place") == rescore).select("query_id", F.col("about").alias("least"))
+        far = found(asked.filter(F.col("near") >= begun).join(last, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0))))
+        few = best(near.drop("place").unionByName(far)).select("query_id", "vec_id", "cell")
         vectors = asked.groupBy("query_id").agg(F.first("q").alias("q"))
         met = live.select("vec_id", "cell", "embedding").join(few.join(vectors, "query_id"), ["cell", "vec_id"])
 
