@@ -80,6 +80,16 @@ def first_match(text: Column, *patterns: str) -> Column:
     return F.coalesce(*[F.nullif(stripped(F.regexp_extract(text, p, 1)), F.lit("")) for p in patterns])
 
 
+#: Words before a name in a question, and before the facts of parameters, procedures and errors; the shape of descriptions,
+#: bullet points, lines that look like titles, and of numbers that an answer must have from its sources.
+NAMED_BY = ("parametro", "impostazione", "campo")
+LABELS = {
+    "allowed_values": "valori|opzioni", "default_value": "default|predefinito", "constraints": r"(?:vincol|limitazion)\w*",
+    "prerequisites": r"(?:prerequisit|prima di)\w*", "warnings": "attenzione|avviso|warning", "cause": r"(?:causa|motivo|dovuto)\w*",
+}
+NO_DESCRIPTION, BULLET, TITLE_LINE, LONG_NUMBER = r"^[*#]", r"^[-•*]\s+", r"(?md)^([A-Z][^.]+)$", r"\d{3,}"
+
+
 def param_name(text: Column) -> Column:
     return first_match(text, *PARAM_NAMES)
 
@@ -90,7 +100,7 @@ def section_param_name(kind: Column, title: Column, content: Column) -> Column:
 
 def query_param_name(query: Column) -> Column:
     low = F.lower(query)
-    return F.initcap(F.coalesce(*[F.nullif(F.regexp_extract(low, rf"""{w}\s+["']?([^"'\s]+)["']?""", 1), F.lit("")) for w in ("parametro", "impostazione", "campo")]))
+    return F.initcap(F.coalesce(*[F.nullif(F.regexp_extract(low, rf"""{w}\s+["']?([^"'\s]+)["']?""", 1), F.lit("")) for w in NAMED_BY]))
 
 
 def query_error_code(query: Column, from_results: Column) -> Column:
@@ -103,12 +113,12 @@ def labelled_value(text: Column, words: str, signs: str = ":=") -> Column:
 
 
 def parameter_info(content: Column) -> Column:
-    lines = F.filter(F.transform(F.split(content, "\n"), stripped), lambda x: (F.length(x) > 20) & ~x.rlike(r"^[*#]"))
+    lines = F.filter(F.transform(F.split(content, "\n"), stripped), lambda x: (F.length(x) > 20) & ~x.rlike(NO_DESCRIPTION))
     return F.struct(
         F.get(lines, 0).alias("description"),
-        labelled_value(content, "valori|opzioni").alias("allowed_values"),
-        labelled_value(content, "default|predefinito").alias("default_value"),
-        labelled_value(content, r"(?:vincol|limitazion)\w*").alias("constraints"),
+        labelled_value(content, LABELS["allowed_values"]).alias("allowed_values"),
+        labelled_value(content, LABELS["default_value"]).alias("default_value"),
+        labelled_value(content, LABELS["constraints"]).alias("constraints"),
     )
 
 
@@ -128,8 +138,8 @@ def without_mark(lines: Column, mark: str) -> Column:
 def procedure_info(content: Column) -> Column:
     return F.struct(
         without_mark(F.transform(F.split(content, "\n"), stripped), STEP_MARK).alias("steps"),
-        labelled_value(content, r"(?:prerequisit|prima di)\w*").alias("prerequisites"),
-        labelled_value(content, "attenzione|avviso|warning", ":!").alias("warnings"),
+        labelled_value(content, LABELS["prerequisites"]).alias("prerequisites"),
+        labelled_value(content, LABELS["warnings"], ":!").alias("warnings"),
     )
 
 
@@ -141,7 +151,7 @@ def error_info(content: Column, code: Column) -> Column:
     opening = F.filter(F.slice(lines, 1, 1), lambda x: ~x.rlike(NUMBER_MARK))
     return F.struct(
         F.nullif(stripped(F.regexp_extract(after, r"^[:\-]?\s*([^\n]+)", 1)), F.lit("")).alias("message"),
-        labelled_value(content, r"(?:causa|motivo|dovuto)\w*").alias("cause"),
+        labelled_value(content, LABELS["cause"]).alias("cause"),
         F.concat(opening, without_mark(lines, NUMBER_MARK)).alias("resolution"),
     )
 
@@ -152,20 +162,20 @@ def capitalized(word: Column) -> Column:
 
 def key_points(content: Column, most: int = 4) -> Column:
     """Bullet points; without any, what follows verbs of action, then of features, then lines that look like titles."""
-    bullets = without_mark(F.transform(F.split(content, "\n"), stripped), r"^[-•*]\s+")
+    bullets = without_mark(F.transform(F.split(content, "\n"), stripped), BULLET)
     both = lambda pattern: F.arrays_zip(F.regexp_extract_all(content, F.lit(pattern), F.lit(1)).alias("verb"), F.regexp_extract_all(content, F.lit(pattern), F.lit(2)).alias("rest"))
     acting = F.filter(both(rf"(?is)\b({ACTION_VERBS})\s+((?:(?!\b(?:{ACTION_VERBS})\s).)*)"), lambda x: F.length(stripped(x["rest"])) > 10)
     actions = F.transform(acting, lambda x: F.concat_ws(" ", capitalized(x["verb"]), F.array_join(F.slice(F.split(stripped(x["rest"]), r"\s+"), 1, 8), " ")))
     featured = F.filter(both(rf"(?i)\b({FEATURE_VERBS})\s+([^.]+)"), lambda x: F.length(stripped(x["rest"])) > 15)
     features = F.transform(featured, lambda x: F.concat_ws(" ", capitalized(x["verb"]), stripped(x["rest"])))
-    titled = F.filter(F.regexp_extract_all(content, F.lit(r"(?md)^([A-Z][^.]+)$"), F.lit(1)), lambda x: (F.length(stripped(x)) > 5) & ~F.contains(F.substring(content, 1, 100), x))
+    titled = F.filter(F.regexp_extract_all(content, F.lit(TITLE_LINE), F.lit(1)), lambda x: (F.length(stripped(x)) > 5) & ~F.contains(F.substring(content, 1, 100), x))
     pick = F.when(F.size(bullets) > 0, bullets).when(F.size(actions) > 0, actions).when(F.size(features) > 0, features).otherwise(F.transform(titled, stripped))
     return F.slice(pick, 1, most)
 
 
 def unsupported_numbers(answer: Column, sources: Column) -> Column:
     """Numbers of three digits or more in the answer that no source has (a metric; it rejects nothing)."""
-    numbers = lambda t: F.regexp_extract_all(t, F.lit(r"\d{3,}"), F.lit(0))
+    numbers = lambda t: F.regexp_extract_all(t, F.lit(LONG_NUMBER), F.lit(0))
     return F.array_except(numbers(answer), numbers(sources))
 
 

@@ -145,11 +145,15 @@ def html_title(html: Column) -> Column:
     return stripped(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
+#: Characters that no text of a page document keeps, and its page numbers.
+UNWANTED, PAGE_NUMBER = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\xFF]", r"^\d+$"
+
+
 def clean_pdf_text(text: Column) -> Column:
     """Without control and upper Latin-1 characters, page numbers and short lines without a letter; one line."""
-    plain = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\xFF]", "")
+    plain = F.regexp_replace(text, UNWANTED, "")
     lines = F.transform(F.split(plain, "\n"), stripped)
-    kept = F.filter(lines, lambda x: (x != "") & ~x.rlike(r"^\d+$") & ((F.length(x) >= 5) | x.rlike("[A-Za-z]")))
+    kept = F.filter(lines, lambda x: (x != "") & ~x.rlike(PAGE_NUMBER) & ((F.length(x) >= 5) | x.rlike("[A-Za-z]")))
     return normalize_text(F.array_join(kept, "\n"))
 
 

@@ -9,7 +9,7 @@ Questions stay a table. A cell of very many vectors is met in parts of about ``m
 blocks, so that no task holds more. What tasks get is the model: cells x dimensions and 256 x dimensions numbers.
 
 Later vectors come in as segments with the same model; a vector that comes again replaces the one of the same id. Rows
-with a null id or vector, of another length or of length zero are not stored; ids of one batch must differ.
+with a null id or vector, of another length or of length zero are not stored; ids of one batch must differ, and all batches have the same columns.
 """
 
 from __future__ import annotations
@@ -135,7 +135,7 @@ class VectorIndex:
     def add(self, vectors: DataFrame) -> None:
         """Stores (vec_id, embedding, other columns) as a segment; rows of the same ids in earlier segments are dead from now on."""
         seen, facts = self.versions.current()
-        model, name = self.model(facts["model"]), uuid.uuid4().hex
+        model, name = self.model(facts["model"]), f"s{uuid.uuid4().hex}"
         sent = self.spark.sparkContext.broadcast(model)
         size = model.cells.shape[1]
 
