@@ -10,10 +10,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def read_stream(spark: SparkSession, path: str, glob: str = "*.parquet", files_per_trigger: int = 100) -> DataFrame:
+    """The files of a folder whose names fit, as a stream; of a table that is a folder itself, name the folder."""
     schema = spark.read.option("pathGlobFilter", glob).parquet(path).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def read_table_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
+    """A table as a stream, be it one file or a folder of files."""
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", late: str | None = None) -> DataFrame:
     """Event counts and value sums by window and type; the same on a table and on a stream."""
     rows = events.withWatermark("ts", late) if late else events
