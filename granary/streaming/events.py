@@ -8,17 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from granary.sources.store import Folder
+
 
 def read_stream(spark: SparkSession, path: str, glob: str = "*.parquet", files_per_trigger: int = 100) -> DataFrame:
-    """The files of a folder whose names fit, as a stream; of a table that is a folder itself, name the folder."""
     schema = spark.read.option("pathGlobFilter", glob).parquet(path).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def read_table_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """A table as a stream, be it one file or a folder of files."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 100) -> DataFrame:
+    """A table as a stream, be it one file of the folder or a folder in it."""
+    at = Folder(spark, folder)
+    whole = at.files.getFileStatus(at.path(at.at(name))).isDirectory()
+    return read_stream(spark, at.at(name), "*", files_per_trigger) if whole else read_stream(spark, folder, name, files_per_trigger)
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str | None = None) -> DataFrame:
