@@ -53,6 +53,62 @@ def bm25_fields(queries: DataFrame, docs: DataFrame, boosts: dict[str, float], t
     return both.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
 
 
+def questions(queries: DataFrame, tokens: Callable[[Column], Column] = plain_tokens) -> tuple[DataFrame, DataFrame]:
+    """(query_id, ask) and (ask, term): questions of the same words are asked once, under the least of their ids."""
+    words = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")).groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    asks = saved(words.groupBy("terms").agg(F.min("query_id").alias("ask")))
+    return words.join(asks, "terms").select("query_id", "ask"), asks.select("ask", F.explode("terms").alias("term"))
+
+
+def bm25_topk(
+    queries: DataFrame, docs: DataFrame, k: int, tokens: Callable[[Column], Column] = plain_tokens, k1: float = 0.9, b: float = 0.55,
+    final: Callable[[Column], Column] = lambda s: F.round(s, 6), pairs: int = 2_000_000,
+) -> DataFrame:
+    """query_id, doc_id, score and rank of the ``k`` best documents by ``bm25``, scores as ``final`` (which must not fall) makes them.
+
+    Documents with the same counts of the asked words are a class, named by its least id, and score alike, so a class is scored once
+    for questions of the same words and its ``k`` least ids stand for all. Questions go to the executors whole; classes are dealt so
+    that a task has at most some ``pairs`` of class and question, and no pair is shuffled but the best of each task.
+    """
+    of, asks = questions(queries, tokens)
+    terms = saved(asks.select("term").distinct().withColumn("no", F.row_number().over(Window.orderBy("term"))).union(queries.sparkSession.createDataFrame([("", 0)], "term string, no int")))
+    asks = asks.join(terms, "term").select("ask", "no")
+    cut = docs.select("doc_id", tokens(F.col("text")).alias("words"))
+    each = cut.select("doc_id", F.size("words").alias("dl"), F.explode(F.array_append(F.coalesce("words", F.array().cast("array<string>")), F.lit(""))).alias("term"))
+    counts = each.join(F.broadcast(terms), "term").select("doc_id", "dl", "no").repartition("doc_id").groupBy("doc_id", "dl", "no").agg(F.count("*").cast("int").alias("tf"))
+    # three lists of plain numbers for a document, a third as large as one list of rows
+    lists = counts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("no", "dl", "tf"))).alias("p"))
+    held = saved(lists.select("doc_id", "p.no", "p.dl", "p.tf"))
+    posts = lambda rows, *keep: rows.select(*keep, F.inline(F.arrays_zip("no", "dl", "tf")))
+
+    every = posts(held).groupBy("no").agg(F.count("*").alias("df"), F.sum("tf").alias("n"), F.sum(F.col("dl") * F.col("tf")).alias("total"), F.sum(F.when(F.col("dl").isNotNull(), F.col("tf"))).alias("known"))
+    every = saved(every)  # a row for each asked word
+    n_docs, avgdl = next(((r["n"], r["total"] / r["known"] if r["known"] else None) for r in every.filter("no = 0").collect()), (0, None))
+    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl).cast("double")))
+
+    alike = Window.partitionBy("no", "dl", "tf").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    classes = held.withColumns({"place": F.row_number().over(alike), "class": F.first("doc_id").over(alike)}).filter(F.col("place") <= k)
+    classes = saved(classes.select("doc_id", "class", *[F.when(F.col("place") == 1, F.col(c)).alias(c) for c in ("no", "dl", "tf")]))
+    one = classes.filter("doc_id = class")
+    tasks = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-one.count() * asks.select("ask").distinct().count() // pairs))
+    rows = posts(one.repartition(tasks, "class"), "class").join(F.broadcast(every.filter("no > 0").select("no", idf.alias("idf"))), "no")
+    scored = rows.select("class", "no", weight.alias("w")).join(F.broadcast(asks), "no").groupBy("ask", "class").agg(F.sum("w").alias("score"))
+    best = top(scored.withColumn("score", final(F.col("score"))), k, group="ask", tie="class").drop("rank")
+    best = top(best.join(classes.select("doc_id", "class"), "class"), k, group="ask")
+    return best.join(of, "ask").select("query_id", "doc_id", "score", "rank")
+
+
+def bm25_fields_topk(queries: DataFrame, docs: DataFrame, boosts: dict[str, float], k: int, tokens: Callable[[Column], Column] = plain_tokens, k1: float = 0.9, b: float = 0.55, digits: int = 6) -> DataFrame:
+    """query_id, doc_id, score and rank of the ``k`` best by their best boosted field; each of them is one of the ``k`` best of that field."""
+    final = lambda w: lambda s: F.round(F.round(s, 6) * w, digits)
+    parts = [bm25_topk(queries, docs.select("doc_id", F.col(f).alias("text")), k, tokens, k1, b, final(w)) for f, w in boosts.items()]
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    return top(both.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k)
+
+
 def edits_allowed(term: Column) -> Column:
     return F.when(F.length(term) <= 2, 0).when(F.length(term) <= 5, 1).otherwise(2)
 
@@ -166,7 +222,7 @@ def search(queries: DataFrame, chunks: DataFrame, query_vectors: DataFrame, vect
     widest = max(d for d, _ in K_VALUES.values())
     of_kind = asked.select("query_id", k_dense(F.col("kind")).alias("kd"), k_lexical(F.col("kind")).alias("kx"))
     dense = dense_topk(query_vectors, vectors, widest).join(of_kind, "query_id").filter(F.col("rank") <= F.col("kd"))
-    lexical = top(bm25(queries, chunks, tokens, w.k1, w.b).withColumn("score", F.round("score", 6)), max(x for _, x in K_VALUES.values()))
+    lexical = bm25_topk(queries, chunks, max(x for _, x in K_VALUES.values()), tokens, w.k1, w.b)
     lexical = lexical.join(of_kind, "query_id").filter(F.col("rank") <= F.col("kx"))
     return merged(asked, chunks, dense.withColumnRenamed("vec_id", "doc_id"), lexical, model, w, top_k, head)
 

@@ -250,9 +250,9 @@ def bm25_sql(docs: str, asked_sql: str, k: int = 10) -> str:
 TOP = "SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r QUALIFY rank <= {}"
 
 
-def benchmark_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+def benchmark_bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     asked_rows = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return retrieve.bm25(asked_rows, read(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("score", F.round("score", 6))
+    return retrieve.bm25_topk(asked_rows, read(spark, sf_dir, "documents").select("doc_id", "text"), k)
 
 
 DOCS, ITEMS = "SELECT doc_id, text FROM documents", "SELECT item_id AS query_id, text AS query FROM benchmark"
@@ -260,7 +260,7 @@ DOCS, ITEMS = "SELECT doc_id, text FROM documents", "SELECT item_id AS query_id,
 
 @query(bm25_sql(DOCS, ITEMS) + " " + TOP.format(10))
 def bm25_topk(spark, sf_dir):
-    return retrieve.top(benchmark_bm25(spark, sf_dir), 10)
+    return benchmark_bm25(spark, sf_dir, 10)
 
 
 PARTS_ASKED = "SELECT p_partkey AS query_id, p_type || ' ' || p_name AS query FROM part WHERE p_partkey % 100 = 0"
@@ -270,8 +270,7 @@ PARTS_ASKED = "SELECT p_partkey AS query_id, p_type || ' ' || p_name AS query FR
 def bm25_fields_best(spark, sf_dir):
     part = read(spark, sf_dir, "part").withColumnRenamed("p_partkey", "doc_id")
     asked_rows = part.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.concat_ws(" ", "p_type", "p_name").alias("query"))
-    found = retrieve.bm25_fields(asked_rows, part, {"p_name": 1.4, "p_type": 1.0, "p_brand": 1.2})
-    return retrieve.top(found.withColumn("score", F.round("score", 4)), 5)
+    return retrieve.bm25_fields_topk(asked_rows, part, {"p_name": 1.4, "p_type": 1.0, "p_brand": 1.2}, 5, digits=4)
 
 
 @query("""WITH v AS (SELECT DISTINCT unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS term FROM part), q AS (SELECT DISTINCT left(term, length(term) - 1) AS query_term FROM v WHERE length(term) > 1)
@@ -354,9 +353,9 @@ def confidence(spark, sf_dir):
     b AS (SELECT query_id, doc_id, rank AS r0, CASE WHEN n > 10 THEN (1 - 0.7) * score + 0.7 * CASE WHEN len(qw) > 0 THEN len(list_intersect(qw, dw)) / len(qw) ELSE 0 END ELSE score END AS s FROM o)
     SELECT query_id, doc_id, round(s, 3) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, r0) AS rank FROM b""")
 def rerank_blend(spark, sf_dir):
-    first = retrieve.top(benchmark_bm25(spark, sf_dir), 20)
+    first = benchmark_bm25(spark, sf_dir, 20)
     asked_rows = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    rows = first.join(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(asked_rows, "query_id")
+    rows = read(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(first), "doc_id").join(asked_rows, "query_id")
     out = retrieve.reranked(rows, lambda q, t: F.round(retrieve.overlap_score(q, t), 12))
     return out.select("query_id", "doc_id", F.round("score", 3).alias("score"), "rank")
 
