@@ -103,7 +103,8 @@ def typed_chunks(spark, sf_dir):
     kind = F.element_at(F.array(*map(F.lit, ("error", "parameter", "procedure", "concept"))), (F.col("p_partkey") % 4 + 1).cast("int"))
     long = F.concat(F.lit("1) "), F.repeat(F.concat("p_name", F.lit(" ")), 400), F.lit("\nnota\n2) "), F.repeat(F.concat("p_type", F.lit(" ")), 400))
     content = F.when(kind == "procedure", long).otherwise(F.concat(F.lit("Testo di "), "p_name", F.lit(".")))
-    rows = read(spark, sf_dir, "part").select(lit("s", text_of("p_partkey")).alias("section_id"), kind.alias("content_type"), content.alias("content"))
+    part = read(spark, sf_dir, "part").repartition(4 * spark.sparkContext.defaultParallelism)  # a small file is one task, the texts made of it are not small
+    rows = part.select(lit("s", text_of("p_partkey")).alias("section_id"), kind.alias("content_type"), content.alias("content"))
     return chunking.typed_chunks(rows).select("chunk_id", "parent_chunk_id", "chunk_type", "content", "hash")
 
 
